@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import json
 import tempfile
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -315,7 +317,7 @@ def quantile_at(
     return cumulative.groupBy(*keys, "n").agg(*picks)
 
 
-# ---------------------------------------------------------------------- chained fold
+# ---------------------------------------------------------------------- group folds
 
 Rows = dict[str, list]
 Step = Callable[[dict, Rows], tuple[dict, Rows]]
@@ -384,6 +386,65 @@ def _fold_groups(
     return run
 
 
+def sliding(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    reach: int = 200,
+    how: str = MEDIAN,
+    chunk_rows: int = 20_000,
+    segment_rows: int = 100_000,
+) -> DataFrame:
+    """Statistic over the ``reach`` rows before each row: columns ``prior_n`` and ``prior``.
+
+    Rows are numbered, cut into chunks that carry ``reach`` rows of context, and every
+    chunk keeps one sorted window of the last values (an insertion and a removal per
+    row); a Spark frame would rebuild the whole window for every row.
+    """
+    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns if c not in keys)
+    placed = numbered(df, keys, order, "__pos", segment_rows)
+    chunked = with_context(placed, "__pos", chunk_rows, reach)
+    names = [c for c in df.columns if c not in keys]
+
+    def step(state: dict, rows: Rows) -> tuple[dict, Rows]:
+        out: Rows = {c: [] for c in (*names, "prior_n", "prior")}
+        window: list[float] = []
+        arrived: deque[float] = deque()
+        for i, v in enumerate(rows[value]):
+            n = len(window)
+            if not rows["is_context"][i]:
+                for c in names:
+                    out[c].append(rows[c][i])
+                out["prior_n"].append(n)
+                if n == 0:
+                    out["prior"].append(None)
+                elif how == UPPER_MEDIAN or n % 2:
+                    out["prior"].append(float(window[n // 2]))
+                else:
+                    out["prior"].append((window[n // 2 - 1] + window[n // 2]) / 2)
+            insort(window, v)
+            arrived.append(v)
+            if len(arrived) > reach:
+                del window[bisect_left(window, arrived.popleft())]
+        return state, out
+
+    key_fields = [df.schema[k] for k in keys]
+    schema = T.StructType(
+        [*key_fields, *T.StructType.fromDDL(f"{fields}, prior_n long, prior double").fields]
+    )
+    group = [*keys, "chunk"]
+    marked = chunked.withColumns({"__kind": F.lit(1), "__start": F.lit(None).cast("string")})
+    return (
+        marked.repartition(*group)
+        .sortWithinPartitions(*group, "__pos")
+        .mapInArrow(
+            _fold_groups(step, group, [*names, "is_context"], len(keys), False, to_arrow_schema(schema)),
+            schema,
+        )
+    )
+
+
 def chained_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -392,6 +453,7 @@ def chained_fold(
     out_schema: str,
     segment_rows: int = 200_000,
     in_turn: bool = False,
+    dense: bool = False,
     max_rounds: int = 100_000,
 ) -> DataFrame:
     """Run a sequential automaton per key over segments of at most ``segment_rows`` rows.
@@ -404,10 +466,14 @@ def chained_fold(
     Automata that forget (cooldowns, gates, idle sessions) settle after two or three
     rounds; ``in_turn`` is for those that never forget and runs one stale segment per key
     at a time, so that later ones are not run in vain. Keys with one segment take no
-    extra round.
+    extra round. ``dense`` numbers sparse rows first, so that segments are full.
     """
-    rows = durable(df.withColumn(SEG, segment_of(order, segment_rows)))
-    group, data = [*keys, SEG], df.columns
+    df = durable(df)
+    placed, by = df, order
+    if dense:
+        placed, by = numbered(df, keys, order, "__pos"), "__pos"
+    rows = placed.withColumn(SEG, segment_of(by, segment_rows)).drop("__pos")
+    group, data = [*keys, SEG], [c for c in df.columns if c not in keys]
     key_fields = [rows.schema[k] for k in keys]
     seg_field = T.StructField(SEG, T.LongType())
     state_schema = T.StructType([
@@ -433,6 +499,7 @@ def chained_fold(
     several = rows.groupBy(*keys).agg(F.min(SEG).alias("a"), F.max(SEG).alias("b")).where("a < b")
     if several.isEmpty():
         return apply(rows, None, False)
+    rows = durable(rows) if dense else rows
 
     states = durable(apply(rows, None, True))
     along = Window.partitionBy(*keys).orderBy(SEG)
