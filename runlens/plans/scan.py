@@ -429,18 +429,25 @@ def sliding(
                 del window[bisect_left(window, arrived.popleft())]
         return state, out
 
-    key_fields = [df.schema[k] for k in keys]
-    schema = T.StructType(
-        [*key_fields, *T.StructType.fromDDL(f"{fields}, prior_n long, prior double").fields]
+    return grouped_step(
+        chunked, [*keys, "chunk"], "__pos", step, f"{fields}, prior_n long, prior double", list(keys)
     )
-    group = [*keys, "chunk"]
-    marked = chunked.withColumns({"__kind": F.lit(1), "__start": F.lit(None).cast("string")})
+
+
+def grouped_step(
+    df: DataFrame, group: list[str], order: str, step: Step, out_schema: str, keep: list[str] | None = None
+) -> DataFrame:
+    """``step`` once per (bounded) group, in order; output follows the columns ``keep`` of
+    the group (a leading part of it, all by default)."""
+    keep = group if keep is None else keep
+    schema = T.StructType([*[df.schema[k] for k in keep], *T.StructType.fromDDL(out_schema).fields])
+    data = [c for c in df.columns if c not in group]
+    marked = df.withColumns({"__kind": F.lit(1), "__start": F.lit(None).cast("string")})
     return (
         marked.repartition(*group)
-        .sortWithinPartitions(*group, "__pos")
+        .sortWithinPartitions(*group, order)
         .mapInArrow(
-            _fold_groups(step, group, [*names, "is_context"], len(keys), False, to_arrow_schema(schema)),
-            schema,
+            _fold_groups(step, group, data, len(keep), False, to_arrow_schema(schema)), schema
         )
     )
 
