@@ -91,9 +91,10 @@ def window_spikes(
         F.array_distinct(F.percentile_approx("value_ms", [i / splits for i in range(1, splits)], 10_000)).alias("borders"),
         F.count(F.lit(1)).alias("n"),
     ).where(F.col("n") > cfg.min_samples_per_half)
-    bucketed = placed.join(borders, OPERATION).withColumn(
-        "bucket", F.size(F.filter("borders", lambda b: b < F.col("value_ms")))
-    )
+    bucketed = scan.durable(placed.join(borders, OPERATION).select(
+        *OPERATION, "pos", "block", "value_ms",
+        F.size(F.filter("borders", lambda b: b < F.col("value_ms"))).alias("bucket"),
+    ))
     # counts per (block, bucket) are small; running sums over blocks give every prefix
     cells = bucketed.groupBy(*OPERATION, "block", "bucket").agg(F.count(F.lit(1)).alias("c"))
     blocks = cells.groupBy(*OPERATION, "block").agg(F.sum("c").alias("size"))

@@ -98,10 +98,11 @@ def window_drift(samples: DataFrame, cfg: Config = DEFAULT, order: str = "event_
     statistics of the two halves of each operation."""
     placed = scan.numbered(samples, OPERATION, order, "pos", cfg.segment_rows)
     sizes = samples.groupBy(*OPERATION).agg(F.count(F.lit(1)).alias("n_samples"))
-    sided = (
+    sided = scan.durable(
         placed.join(sizes, OPERATION)
         .where(F.expr("n_samples div 2") >= cfg.min_samples_per_half)
         .withColumn("newer", F.col("pos") >= F.expr("n_samples div 2"))
+        .select(*OPERATION, "newer", "value_ms")
     )
     medians = scan.quantile_at(sided, [*OPERATION, "newer"], "value_ms", {"m": scan.MEDIAN})
     halves = medians.groupBy(*OPERATION).agg(

@@ -176,7 +176,7 @@ def rate_conditions(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def detect_rate_spike(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """The rate of a template against its own history, through the hysteresis gate."""
-    rows = rate_conditions(events, cfg)
+    rows = scan.durable(rate_conditions(events, cfg))
     breached = rows.where("above or above_end").select(*TRACK).distinct()
     gated = scan.chained_fold(
         rows.join(breached, TRACK, "left_semi"), TRACK, "sec",
@@ -202,7 +202,7 @@ def detect_rate_drop(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     The first event of the source at or after the due time is found by a range join
     whose buckets hold at most an hour of per-second rows.
     """
-    seconds = per_second(events)
+    seconds = scan.durable(per_second(events))
     tracked = scan.running(
         seconds, TRACK, "sec", {"upto": scan.total(F.col("n")), "first": scan.lowest(F.col("sec"))},
         cfg.segment_rows,
@@ -227,7 +227,7 @@ def detect_rate_drop(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         .withColumn("bucket", F.expr("due div 3600"))
     )
     stream = scan.running(
-        per_second(events, ["source_id"]), ["source_id"], "sec",
+        seconds.groupBy("source_id", "sec").agg(F.min("first_no").alias("first_no")), ["source_id"], "sec",
         {"before": scan.lag(F.col("sec"))}, cfg.segment_rows,
     )
     covered = stream.where("before is not null").select(
@@ -266,14 +266,14 @@ def detect_silence(
     cols = ["source_id", "event_no", "sec", "template_id"]
     timed = events.where(F.col("sec").isNotNull()).select(*cols)
     gaps = scan.running(
-        timed, ["source_id"], "event_no", {"before": scan.lag(F.col("sec"))}, cfg.segment_rows
+        scan.durable(timed), ["source_id"], "event_no", {"before": scan.lag(F.col("sec"))}, cfg.segment_rows
     ).withColumn("gap", (F.col("sec") - F.col("before")).cast("double"))
     if muted is not None:
         gaps = apply_suppressions(gaps, muted)
-    placed = scan.numbered(
+    placed = scan.durable(scan.numbered(
         gaps.where(F.col("gap") >= 0).select("source_id", "event_no", "sec", "gap"),
         ["source_id"], "event_no", "pos", cfg.segment_rows,
-    )
+    ))
     long = placed.where((F.col("gap") >= cfg.silence_min_s) & (F.col("pos") >= cfg.silence_min_gaps))
     prior = long.select(
         "source_id", F.col("event_no").alias("hit_no"),
@@ -285,9 +285,9 @@ def detect_silence(
         .groupBy("source_id", F.col("hit_no").alias("event_no"))
         .agg(F.percentile("gap", 0.5).alias("usual"))
     )
-    due = long.join(medians, ["source_id", "event_no"]).where(
+    due = scan.durable(long.join(medians, ["source_id", "event_no"]).where(
         F.col("gap") >= F.col("usual") * cfg.silence_factor
-    )
+    ))
     # a gap can only beat the longest reported one if it beats every candidate before it
     records = scan.running(
         due.select("source_id", "event_no", "gap", "usual"), ["source_id"], "event_no",
@@ -342,9 +342,9 @@ def detect_latency_shift(
 def error_conditions(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Gate input of D6: error share of the trailing window against the share so far."""
     pattern = F.col("template_pattern") if "template_pattern" in events.columns else F.lit(None).cast("string")
-    flagged = events.where(F.col("sec").isNotNull()).select(
+    flagged = scan.durable(events.where(F.col("sec").isNotNull()).select(
         "source_id", "event_no", "sec", classify.error_like(F.col("level"), pattern).cast("long").alias("err"),
-    )
+    ))
     so_far = scan.running(
         flagged, ["source_id"], "event_no",
         {"total": scan.count(), "errors": scan.total(F.col("err"))}, cfg.segment_rows,
@@ -380,7 +380,7 @@ def error_conditions(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def detect_error_ratio(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Share of error-like events against the stream's own share, through the gate."""
-    rows = error_conditions(events, cfg)
+    rows = scan.durable(error_conditions(events, cfg))
     breached = rows.where("above").select("source_id").distinct()
     state = F.struct("sec", "above", "below")
     marked = scan.running(

@@ -62,7 +62,7 @@ def mine_flow(
         ).drop("n"),
         "source_id", "left",
     )
-    positions = first_positions(usable, "template_id", cfg)
+    positions = scan.durable(first_positions(usable, "template_id", cfg))
     seen = positions.groupBy("source_id", "template_id").agg(F.count(F.lit(1)).alias("n_runs"))
     ranks = scan.quantile_at(
         positions, ["source_id", "template_id"], "position", {"median_rank": scan.MEDIAN}

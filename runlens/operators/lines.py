@@ -105,19 +105,16 @@ def unroll_clock(df: DataFrame, seconds: str, order: str = "event_no", cfg: Conf
 
     Adds ``day_no`` and ``sec`` (= day_no * 86400 + seconds); rows without a clock keep null.
     """
-    prev = scan.running(
-        df, ["source_id"], order, {"__prev": scan.lag(F.col(seconds))}, cfg.segment_rows
-    )
-    # rows without a clock must not hide the one before: carry the last known value
+    # rows without a clock must not hide the one before
     known = scan.running(
-        prev, ["source_id"], order, {"__known": scan.last(F.col("__prev"))}, cfg.segment_rows
+        df, ["source_id"], order, {"__known": scan.before(F.col(seconds))}, cfg.segment_rows
     )
     jump = F.coalesce(F.col(seconds) + cfg.clock_jump_s < F.col("__known"), F.lit(False))
     days = scan.running(
         known.withColumn("jump", jump), ["source_id"], order,
         {"day_no": scan.total(F.col("jump").cast("long"))}, cfg.segment_rows,
     )
-    return days.withColumn("sec", F.col("day_no") * 86400 + F.col(seconds)).drop("__prev", "__known")
+    return days.withColumn("sec", F.col("day_no") * 86400 + F.col(seconds)).drop("__known")
 
 
 def order_events(df: DataFrame, keys: tuple[str, ...] = ("source_id", "trace_id")) -> DataFrame:

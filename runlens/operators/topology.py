@@ -34,7 +34,7 @@ def component_edges(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def component_ranks(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Upper median of the position at which a component first enters its runs."""
-    positions = first_positions(events, "component", cfg)
+    positions = scan.durable(first_positions(events, "component", cfg))
     return scan.quantile_at(
         positions, ["source_id", "component"], "position", {"rank": scan.UPPER_MEDIAN}
     ).withColumnRenamed("n", "n_runs")

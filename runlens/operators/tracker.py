@@ -31,19 +31,21 @@ def fold_tracker_detail(lines: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     })
     # a blank continues iff the last non-blank line did: blanks take over its answer
     carried = scan.running(
-        base, ["source_id"], "line_no",
+        scan.durable(base), ["source_id"], "line_no",
         {"__open": scan.last(F.when(~F.col("__blank"), F.col("__cont")))}, cfg.segment_rows,
     )
     noise = parse.is_noise(raw, F.col("message")) & ~F.col("__blank")
     folds = F.when(F.col("__blank"), F.coalesce("__open", F.lit(False))).otherwise(F.col("__cont") | noise)
     kept = carried.withColumn("__folds", folds).where(~F.col("__blank") | F.col("__folds"))
     grouped = scan.running(
-        kept, ["source_id"], "line_no",
+        scan.durable(kept), ["source_id"], "line_no",
         {"__i": scan.since(~F.col("__folds")), "__anchor": scan.last(F.when(~F.col("__folds"), F.col("line_no")))},
         cfg.segment_rows,
     )
     behind = scan.running(
-        grouped.select("source_id", "line_no", "__i", "__anchor", "__text", "line", "message", "level", "__folds"),
+        scan.durable(grouped.select(
+            "source_id", "line_no", "__i", "__anchor", "__text", "line", "message", "level", "__folds"
+        )),
         ["source_id"], "line_no", {"__next": scan.lag(F.col("__i"))}, cfg.segment_rows, reverse=True,
     )
     # length of an entry is read off its last row, so the middle is dropped before any group is built
@@ -88,8 +90,11 @@ def segment_runs(annotated: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
     One row per run: events, failures, retries, skips, components, status, reason.
     """
+    narrow = scan.durable(annotated.select(
+        "source_id", "event_no", "component", "transition", "skipped_component", "is_start", "is_end", "cause",
+    ))
     numbered = scan.running(
-        annotated, ["source_id"], "event_no", {"run_no": scan.total(F.col("is_start").cast("long"))},
+        narrow, ["source_id"], "event_no", {"run_no": scan.total(F.col("is_start").cast("long"))},
         cfg.segment_rows,
     ).where("run_no > 0")
     run = ["source_id", "run_no"]
@@ -132,10 +137,10 @@ def skip_nodes(annotated: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     The leader of a component's successors is a running maximum of (count, seniority):
     counts only grow, so the greatest pair reached so far is the present leader.
     """
-    cols = annotated.select("source_id", "event_no", "component", "branch")
-    stepped = scan.running(
+    cols = scan.durable(annotated.select("source_id", "event_no", "component", "branch"))
+    stepped = scan.durable(scan.running(
         cols, ["source_id"], "event_no", {"before": scan.lag(F.col("component"))}, cfg.segment_rows
-    ).where("before is not null")
+    ).where("before is not null"))
     move = ["source_id", "before", "component"]
     moves = scan.running(
         stepped.where("before <> component").select(*move, "event_no"), move, "event_no",
@@ -146,7 +151,7 @@ def skip_nodes(annotated: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         F.col("n").isNotNull(), F.struct("n", (-F.col("first_no")).alias("seniority"), F.col("component").alias("to"))
     )
     led = scan.running(
-        known, ["source_id", "before"], "event_no", {"leader": scan.highest(standing)}, cfg.segment_rows
+        scan.durable(known), ["source_id", "before"], "event_no", {"leader": scan.highest(standing)}, cfg.segment_rows
     )
     expected = F.col("leader.to")
     return led.where("branch is not null").select(

@@ -51,7 +51,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Running:
-    """One running column: ``how`` in count / sum / max / min / last / lag."""
+    """One running column: ``how`` in count / sum / max / min / last / before / lag / since."""
 
     how: str
     col: Column | None = None
@@ -78,6 +78,11 @@ def last(col: Column) -> Running:
     return Running("last", col)
 
 
+def before(col: Column) -> Running:
+    """Last non-null value of the rows before the current one."""
+    return Running("before", col)
+
+
 def lag(col: Column) -> Running:
     """Value of the row before the current one (null on the first row)."""
     return Running("lag", col)
@@ -107,6 +112,7 @@ def running(
     (one row per key and segment) are ordered over the whole key, and only keys that
     span more than one segment take part in the join back. ``reverse`` scans from the
     end, so ``lag`` reads the following row and ``last`` the next non-null value.
+    ``df`` is read twice (summaries, rows): make it ``durable`` before chaining scans.
     """
     base = df.withColumn(SEG, segment_of(order, segment_rows))
     inputs = {f"__in_{n}": r.col for n, r in columns.items() if r.col is not None}
@@ -135,7 +141,7 @@ def running(
             agg = F.max if r.how == "max" else F.min
             parts.append(agg(value).alias(part))
             prefix.append(agg(part).over(over_summaries))
-        elif r.how == "last":
+        elif r.how in ("last", "before"):
             parts.append(F.max_by(value, F.when(value.isNotNull(), direction)).alias(part))
             prefix.append(F.last(part, ignorenulls=True).over(over_summaries))
         elif r.how == "lag":
@@ -180,6 +186,9 @@ def running(
             out[name] = F.least(start, F.min(value).over(upto))
         elif r.how == "last":
             out[name] = F.coalesce(F.last(value, ignorenulls=True).over(upto), start)
+        elif r.how == "before":
+            earlier = local.rowsBetween(Window.unboundedPreceding, -1)
+            out[name] = F.coalesce(F.last(value, ignorenulls=True).over(earlier), start)
         elif r.how == "since":
             at = F.coalesce(F.col("__before"), F.lit(0)) + F.col("__ln")
             flagged = F.coalesce(F.last(F.when(value, at), ignorenulls=True).over(upto), start, F.lit(1))

@@ -10,14 +10,21 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def _as_instant(df: DataFrame, name: str) -> Column:
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a scan that has fewer splits than there are cores (one small file); a scan
+    of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def _as_instant(name: str) -> Column:
     return F.col(name).cast("timestamp")
 
 
 def activity_events(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` as engine events: one run per user and day."""
     e = load(spark, folder, "events")
-    ts = _as_instant(e, "ts")
+    ts = _as_instant("ts")
     return e.select(
         F.lit("activity").alias("source_id"),
         F.col("event_id").alias("event_no"),
@@ -38,8 +45,8 @@ def activity_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def activity_lines(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` written as log lines: clock, level, logger, tag, run key, duration, tokens."""
-    e = load(spark, folder, "events")
-    ts = _as_instant(e, "ts")
+    e = spread(load(spark, folder, "events"))
+    ts = _as_instant("ts")
     return e.select(
         F.lit("activity").alias("source_id"),
         F.col("event_id").alias("line_no"),
@@ -64,7 +71,7 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
 
     ``line_no`` is unique inside the source: document number and line number share it.
     """
-    d = load(spark, folder, "documents")
+    d = spread(load(spark, folder, "documents"))
     return d.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("i", "payload")).select(
         F.col("source").alias("source_id"),
         (F.col("doc_id") * 1_000_000 + F.col("i")).alias("line_no"),
@@ -79,7 +86,7 @@ def order_events(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("orders").alias("source_id"),
         F.col("o_orderkey").cast("string").alias("trace_id"),
         (F.col("o_orderkey") * 100).alias("event_no"),
-        _as_instant(None, "o_orderdate").alias("ts"),
+        _as_instant("o_orderdate").alias("ts"),
         F.when(F.col("o_orderstatus") == "F", "ERROR").otherwise("INFO").alias("level"),
         F.lit("placed").alias("template_id"),
     )
@@ -87,7 +94,7 @@ def order_events(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("orders").alias("source_id"),
         F.col("l_orderkey").cast("string").alias("trace_id"),
         (F.col("l_orderkey") * 100 + 1 + F.col("l_linenumber")).alias("event_no"),
-        _as_instant(None, "l_shipdate").alias("ts"),
+        _as_instant("l_shipdate").alias("ts"),
         F.lit("INFO").alias("level"),
         F.concat(F.lit("line:"), F.col("l_linestatus")).alias("template_id"),
     )
