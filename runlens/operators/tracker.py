@@ -30,13 +30,23 @@ def fold_tracker_detail(lines: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         "__cont": parse.is_continuation(F.col("__text")),
     })
     # a blank continues iff the last non-blank line did: blanks take over its answer
-    carried = scan.running(
+    carried = scan.durable(scan.running(
         scan.durable(base), ["source_id"], "line_no",
         {"__open": scan.last(F.when(~F.col("__blank"), F.col("__cont")))}, cfg.segment_rows,
-    )
+    ))
     noise = parse.is_noise(raw, F.col("message")) & ~F.col("__blank")
     folds = F.when(F.col("__blank"), F.coalesce("__open", F.lit(False))).otherwise(F.col("__cont") | noise)
-    kept = carried.withColumn("__folds", folds).where(~F.col("__blank") | F.col("__folds"))
+    # detail lines ahead of the first entry have nothing to join; a noise row may open one
+    opened = carried.where(~F.col("__blank") & ~F.col("__cont")).groupBy("source_id").agg(
+        F.min("line_no").alias("__opened")
+    )
+    kept = (
+        carried.withColumn("__folds", folds)
+        .where(~F.col("__blank") | F.col("__folds"))
+        .join(opened, "source_id")
+        .where(F.col("line_no") >= F.col("__opened"))
+        .withColumn("__folds", F.col("__folds") & (F.col("line_no") > F.col("__opened")))
+    )
     grouped = scan.running(
         scan.durable(kept), ["source_id"], "line_no",
         {"__i": scan.since(~F.col("__folds")), "__anchor": scan.last(F.when(~F.col("__folds"), F.col("line_no")))},

@@ -114,3 +114,38 @@ def conversation_events(spark: SparkSession, folder: str) -> DataFrame:
         F.col("role").alias("component"),
         F.col("text").alias("text_redacted"),
     )
+
+
+def mixed_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``events`` written as a log with tracebacks, JVM frames, printed boxes, JSON and blanks.
+
+    Every event is one line; its kind follows from its number, so order matters as it
+    does in a real log.
+    """
+    e = spread(load(spark, folder, "events"))
+    ts = _as_instant("ts")
+    no, user = F.col("event_id"), F.col("user_id").cast("string")
+    kind = F.pmod(no * 7 + F.col("user_id"), F.lit(12))
+    stamp = F.date_format(ts, "HH:mm:ss")
+    plain = F.concat(
+        stamp, F.when(F.col("event_type") == "error", " ERROR shop.web: ").otherwise(" INFO shop.web: "),
+        F.when(F.col("event_type") == "signup", "request received from user ")
+        .when(F.col("event_type") == "purchase", "response sent to user ")
+        .when(F.col("event_type") == "error", "lookup failed, retry for user ")
+        .when(F.col("event_type") == "view", "retrieve page for user ")
+        .otherwise("parsing input of user "),
+        user,
+    )
+    return e.select(
+        F.concat(F.lit("web-"), F.pmod("user_id", F.lit(3)).cast("string")).alias("source_id"),
+        no.alias("line_no"),
+        F.when(kind == 0, F.concat(F.lit('  File "shop/cart'), user, F.lit('.py", line 12, in add')))
+        .when(kind == 1, F.concat(F.lit("    at shop.Cart.add(Cart.java:"), user, F.lit(")")))
+        .when(kind == 2, F.concat(F.lit("ValueError: bad item "), user))
+        .when(kind == 3, F.concat(stamp, F.lit(" INFO shop.web: │ item "), user))
+        .when(kind == 4, F.concat(stamp, F.lit(" INFO shop.web: ┌ cart of "), user))
+        .when(kind == 5, F.concat(F.lit('{"level":"warn","msg":"slow answer","userNo":'), user, F.lit(',"took":"long"}')))
+        .when(kind == 6, F.lit(""))
+        .otherwise(plain)
+        .alias("payload"),
+    )
