@@ -28,18 +28,15 @@ def p95_of(ordered: Column) -> Column:
 
 def duration_samples(events: DataFrame, text: str = "text_redacted") -> DataFrame:
     """A3: one row per measured line (P12 + P13 on its first line)."""
-    head = classify.head_line(F.col(text))
-    return (
-        events.withColumn("value_ms", measure.extract_duration(head))
-        .where(F.col("value_ms").isNotNull())
-        .select(
-            "source_id",
-            F.col("service").alias("component"),
-            measure.operation_name(head).alias("operation"),
-            "value_ms",
-            "event_no",
-            "ts",
-        )
+    headed = events.withColumn("__head", classify.head_line(F.col(text)))
+    measured = headed.withColumn("__m", measure.measurement(F.col("__head")))
+    return scan.where_computed(measured, F.col("__m").isNotNull()).select(
+        "source_id",
+        F.col("service").alias("component"),
+        measure.operation_name(F.col("__head"), F.col("__m.text")).alias("operation"),
+        F.col("__m.value_ms").alias("value_ms"),
+        "event_no",
+        "ts",
     )
 
 

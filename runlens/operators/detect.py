@@ -427,10 +427,11 @@ def detect_error_ratio(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def cost_samples(events: DataFrame, text: str = "text_redacted") -> DataFrame:
     """P14 over events: one row per line that states a cost."""
+    priced = events.where(F.col("sec").isNotNull()).withColumn(
+        "c", measure.extract_cost(classify.head_line(F.col(text)))
+    )
     return (
-        events.where(F.col("sec").isNotNull())
-        .withColumn("c", measure.extract_cost(classify.head_line(F.col(text))))
-        .where("c is not null")
+        scan.where_computed(priced, F.col("c").isNotNull())
         .select("source_id", F.col("c.label").alias("label"), F.col("c.amount").alias("amount"), "event_no", "sec")
     )
 

@@ -136,7 +136,7 @@ def masked(col: str) -> str:
 
 ORACLES["mask_lines"] = f"{L} SELECT {masked('payload')} AS mask, count(*) AS n_lines FROM lines GROUP BY 1"
 ORACLES["mask_documents"] = f"{D} SELECT line_no, md5({masked('payload')}) AS digest FROM docs"
-ORACLES["extract_durations"] = L + " SELECT line_no, CAST(regexp_extract(payload, ' in ([0-9.]+)ms', 1) AS DOUBLE) AS value_ms, 'error' AS operation FROM lines"
+ORACLES["extract_durations"] = L + " SELECT line_no, CAST(regexp_extract(payload, ' in ([0-9.]+)ms', 1) AS DOUBLE) AS value_ms, CASE WHEN contains(payload, ' ERROR ') THEN 'error' ELSE 'info' END || ' shop web' AS operation FROM lines"
 ORACLES["extract_costs"] = L + " SELECT line_no, 'overall:total_tokens' AS label, CAST(regexp_extract(payload, 'total_tokens=([0-9]+)', 1) AS DOUBLE) AS amount FROM lines"
 ORACLES["extract_keys"] = f"""{L} SELECT line_no, coalesce({', '.join(part('payload', p) for p in keys.KEYS)}) AS key, {has('payload', keys.UNKEYED_OPEN)} AS opens,
   {has('payload', keys.UNKEYED_CLOSE)} AS closes, {has('payload', keys.GENERIC_END)} AS ends, {has('payload', keys.HARD_CLOSERS)} AS hard FROM lines"""
@@ -211,7 +211,7 @@ ORACLES["template_counts"] = P + """ SELECT template_id, count(*) AS total_count
 ORACLES["top_templates"] = P + " SELECT template_id || '/' || service AS template_id, count(*) AS total_count FROM act GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
 ORACLES["template_minutes"] = ORACLES["merge_counts"]
 ORACLES["template_activity"] = P + " SELECT template_id, count(*) AS n_events FROM act WHERE template_id IN ('error', 'purchase') AND ts >= '2024-01-15' GROUP BY 1"
-ORACLES["duration_samples"] = L + " SELECT 'web' AS component, 'error' AS operation, CAST(regexp_extract(payload, ' in ([0-9.]+)ms', 1) AS DOUBLE) AS value_ms, line_no AS event_no FROM lines"
+ORACLES["duration_samples"] = L + " SELECT 'web' AS component, CASE regexp_extract(payload, '\\[(\\w+)\\]', 1) WHEN 'error' THEN 'request failed connection' WHEN 'signup' THEN 'request received from' WHEN 'purchase' THEN 'payment completed via' ELSE 'page served to' END AS operation, CAST(regexp_extract(payload, ' in ([0-9.]+)ms', 1) AS DOUBLE) AS value_ms, line_no AS event_no FROM lines"
 KEPT = P + """, s AS (SELECT service AS component, template_id AS operation, value_ms, event_no, sec, ts,
     row_number() OVER (PARTITION BY service, template_id ORDER BY event_no DESC) AS back, count(*) OVER (PARTITION BY service, template_id) AS total FROM act),
   k AS (SELECT *, least(total, 200) AS n, least(total, 200) - back AS pos FROM s WHERE back <= 200)"""

@@ -52,6 +52,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on columns that are expensive to compute.
+
+    Catalyst would copy the expressions into a filter below the projection and evaluate
+    them twice (nested ones many times over); the row id keeps the filter above it.
+    """
+    row = F.monotonically_increasing_id()
+    return df.withColumn("__row", row).where(condition & (F.col("__row") >= 0)).drop("__row")
+
+
 # --------------------------------------------------------------------------- running
 
 

@@ -302,7 +302,9 @@ def detection_tracks(events: DataFrame) -> DataFrame:
     """One narrow row per event and track it belongs to."""
     head = classify.head_line(F.col("text_redacted"))
     cost = measure.extract_cost(head)
-    base = events.withColumns({"__d": measure.extract_duration(head), "__o": measure.operation_name(head), "__c": cost})
+    base = events.withColumns({"__m": measure.measurement(head), "__c": cost}).withColumns({
+        "__d": F.col("__m.value_ms"), "__o": measure.operation_name(head, F.col("__m.text")),
+    })
 
     def track(kind: str, name: Column, metric: Column, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), name.alias("track"), metric.alias("metric"), value.alias("value"))
