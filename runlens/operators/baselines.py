@@ -30,7 +30,7 @@ def duration_samples(events: DataFrame, text: str = "text_redacted") -> DataFram
     """A3: one row per measured line (P12 + P13 on its first line)."""
     headed = events.withColumn("__head", classify.head_line(F.col(text)))
     measured = headed.withColumn("__m", measure.measurement(F.col("__head")))
-    return scan.where_computed(measured, F.col("__m").isNotNull()).select(
+    return scan.computed_once(measured).where("__m is not null").select(
         "source_id",
         F.col("service").alias("component"),
         measure.operation_name(F.col("__head"), F.col("__m.text")).alias("operation"),

@@ -431,7 +431,8 @@ def cost_samples(events: DataFrame, text: str = "text_redacted") -> DataFrame:
         "c", measure.extract_cost(classify.head_line(F.col(text)))
     )
     return (
-        scan.where_computed(priced, F.col("c").isNotNull())
+        scan.computed_once(priced)
+        .where("c is not null")
         .select("source_id", F.col("c.label").alias("label"), F.col("c.amount").alias("amount"), "event_no", "sec")
     )
 

@@ -57,8 +57,9 @@ def archive_incidents(signatures: DataFrame, archive: DataFrame | None = None, c
 
 
 def _jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    both = F.size(F.array_intersect(a, b))
+    union = F.size(a) + F.size(b) - both  # the sets of a signature are distinct
+    return F.when(union == 0, 0.0).otherwise(both / union)
 
 
 def similarity(a: str, b: str) -> Column:
@@ -88,7 +89,10 @@ def similar_incidents(
         archive.withColumn("__o", F.struct("opened_at", "incident_no")), ["source_id"], "__o", cfg.archive_compared
     )
     shelf = newest.groupBy("source_id").agg(F.collect_list(entry).alias("shelf"))
-    asked = queries.select(
+    # scoring is the work here: spread it over all cores even if the incidents are few bytes
+    spark = queries.sparkSession
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    asked = queries.repartition(cores, "source_id", "incident_no", "opened_at").select(
         "source_id", F.struct("incident_no", "opened_at", *parts).alias("q")
     )
     pairs = (

@@ -52,14 +52,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def where_computed(df: DataFrame, condition: Column) -> DataFrame:
-    """Filter on columns that are expensive to compute.
+def computed_once(df: DataFrame) -> DataFrame:
+    """Keep later filters above columns that are expensive to compute.
 
-    Catalyst would copy the expressions into a filter below the projection and evaluate
-    them twice (nested ones many times over); the row id keeps the filter above it.
+    Catalyst copies the expressions of a filtered column into a filter below the
+    projection and evaluates them twice, chained ones many times over. The row id is not
+    deterministic, so nothing is moved below it. Filters on plain columns belong in front.
     """
-    row = F.monotonically_increasing_id()
-    return df.withColumn("__row", row).where(condition & (F.col("__row") >= 0)).drop("__row")
+    return df.withColumn("__row", F.monotonically_increasing_id()).where("__row >= 0").drop("__row")
 
 
 # --------------------------------------------------------------------------- running
