@@ -53,7 +53,8 @@ class StepProcessor(StatefulProcessor):
         size = len(next(iter(out.values()))) if out else 0
         data = {k: [key[i]] * size for i, k in enumerate(self.keys)}
         data.update({n: out[n] for n in self.names})
-        return pd.DataFrame(data, columns=[*self.keys, *self.names])
+        # plain objects: the declared schema decides the types
+        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in data.items()})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(self.order, kind="stable")

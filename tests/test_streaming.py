@@ -34,10 +34,19 @@ def pieces(df, order, cuts):
 def test_folding(spark, lines_of, tmp_path):
     text = "10:00:00 INFO a.b: one\n  File \"x.py\", line 1\nValueError: no\n10:00:01 INFO a.b: two\n10:00:02 INFO a.b: ┌ t\n10:00:02 INFO a.b: │ r\n10:00:03 INFO a.b: last"
     df = lines_of(text)
-    got = run(spark, tmp_path, pieces(df, "line_no", [1, 4]), live.stream_events, "t1").select("event_no", "text", "folded_lines").collect()
-    want = lines.fold_continuations(lines.parse_lines(df)).select("event_no", "text", "folded_lines").orderBy("event_no").collect()
-    done = sorted(map(tuple, got))
-    assert done[:3] == [tuple(r) for r in want][:3]  # the last one is held until silence
+    src = str(tmp_path / "in")
+    for frame in pieces(df, "line_no", [1, 4]):
+        frame.coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = live.stream_events(stream, idle_s=8.0).writeStream.format("memory").queryName("t1").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="2 seconds").start()
+    want = [tuple(r) for r in lines.fold_continuations(lines.parse_lines(df)).select("event_no", "text", "folded_lines").orderBy("event_no").collect()]
+    got, until = [], time.time() + 120
+    while len(got) < len(want) and time.time() < until:  # the last event comes by the idle timer
+        time.sleep(1)
+        got = sorted(tuple(r) for r in spark.table("t1").select("event_no", "text", "folded_lines").collect())
+    q.stop()
+    assert got == want
     step, on_idle = live.folding_step()
     assert on_idle({"held": {"event_no": 6, "level": "INFO", "ts_text": None, "head": "last", "more": []}})[1]["event_no"] == [6]
 
@@ -51,7 +60,7 @@ def test_linking(spark, tmp_path):
 
 
 def test_minutes_runs_and_dedup(spark, tmp_path):
-    rows = [("s", i, i * 7, "ab"[i % 2], f"r{i // 6}", "ERROR" if i == 3 else "INFO") for i in range(60)] + [("s", 99, 9000, "a", "zz", "INFO")]
+    rows = [("s", i, 6000 + i * 7, "ab"[i % 2], f"r{i // 6}", "ERROR" if i == 3 else "INFO") for i in range(60)] + [("s", 99, 19000, "a", "zz", "INFO")]
     df = spark.createDataFrame(rows, "source_id string, event_no long, s long, template_id string, trace_id string, level string").withColumn("ts", F.timestamp_seconds("s"))
     frames = pieces(df, "event_no", [20, 40, 70])
     got = run(spark, tmp_path / "m", frames, live.stream_template_minutes, "t2")
