@@ -142,7 +142,7 @@ def running(
     numbers_needed = any(r.how == "since" for r in columns.values())
     if numbers_needed:
         base = base.withColumn("__ln", F.row_number().over(local))
-        parts.append(F.count(F.lit(1)).alias("__s_n"))
+        parts.append(F.count(F.lit(1)).alias("__rows"))
     over_summaries = (
         Window.partitionBy(*keys)
         .orderBy(F.col(SEG).desc() if reverse else F.col(SEG).asc())
@@ -174,7 +174,7 @@ def running(
     )
     summaries = base.groupBy(*keys, SEG).agg(*parts)
     if numbers_needed:
-        ahead = F.coalesce(F.sum("__s_n").over(over_summaries), F.lit(0))
+        ahead = F.coalesce(F.sum("__rows").over(over_summaries), F.lit(0))
         summaries = summaries.withColumn("__before", ahead).withColumns(extra)
     carried = ["__before"] if numbers_needed else []
     before = (
