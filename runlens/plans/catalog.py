@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,15 @@ AS_OF = datetime(2024, 1, 25)
 
 
 def query(fn: Query) -> Query:
-    CATALOG[fn.__name__] = fn
-    return fn
+    """Register a query; the tables hold times without a zone, which are read as UTC."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, folder)
+
+    CATALOG[fn.__name__] = run
+    return run
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

@@ -409,3 +409,50 @@ CITED = """WITH us AS (SELECT conv_id, turn, text FROM conversations WHERE role
 ORACLES["ground_citations"] = CITED + " SELECT * FROM gr"
 ORACLES["settle_hollow"] = CITED + """ SELECT CASE WHEN conv_id IN (SELECT conv_id FROM gr WHERE claim_id % 4 = 0 AND overlapping) THEN 'hollow' ELSE 'unknown' END AS verdict, count(*) AS n_runs
   FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY 1"""
+
+# ------------------------------------------------------------------ sequential rules, by recursion
+
+ORACLES["cooldown"] = f"""WITH RECURSIVE {ACT}, n AS (SELECT service, event_no, sec, row_number() OVER (PARTITION BY service ORDER BY event_no) AS i FROM act WHERE level = 'ERROR'),
+  r AS (SELECT service, event_no, i, sec AS last, true AS kept FROM n WHERE i = 1
+    UNION ALL SELECT n.service, n.event_no, n.i, CASE WHEN n.sec - r.last >= 7200 THEN n.sec ELSE r.last END, n.sec - r.last >= 7200 FROM r JOIN n ON n.service = r.service AND n.i = r.i + 1)
+  SELECT service, event_no FROM r WHERE kept"""
+ORACLES["hysteresis_gate"] = f"""WITH RECURSIVE {ACT}, n AS (SELECT service, event_no, sec, value_ms >= 30 AS a, value_ms < 90 AS b, row_number() OVER (PARTITION BY service ORDER BY event_no) AS i FROM act),
+  r AS (SELECT service, event_no, sec, i, false AS firing, CASE WHEN a THEN sec END AS since, CAST(NULL AS VARCHAR) AS change FROM n WHERE i = 1
+    UNION ALL SELECT service, event_no, sec, i, CASE WHEN due THEN NOT firing ELSE firing END, CASE WHEN due THEN NULL ELSE s END, CASE WHEN due THEN CASE WHEN firing THEN 'clear' ELSE 'fire' END END FROM (
+     SELECT *, s IS NOT NULL AND sec - s >= CASE WHEN firing THEN 7200 ELSE 3600 END AS due FROM (
+      SELECT n.*, r.firing, CASE WHEN CASE WHEN r.firing THEN n.b ELSE n.a END THEN coalesce(r.since, n.sec) END AS s FROM r JOIN n ON n.service = r.service AND n.i = r.i + 1)))
+  SELECT service, event_no, sec, change FROM r WHERE change IS NOT NULL"""
+
+
+def cooled(hits: str, key: str, seconds: int) -> str:
+    """Recursive part that keeps a hit if ``seconds`` have passed since the last kept one of its key."""
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY event_no) AS i FROM {hits}),
+  r AS (SELECT {key} AS k, event_no, i, sec AS last, true AS kept FROM n WHERE i = 1 UNION ALL
+    SELECT n.{key}, n.event_no, n.i, CASE WHEN n.sec - r.last >= {seconds} THEN n.sec ELSE r.last END, n.sec - r.last >= {seconds} FROM r JOIN n ON n.{key} = r.k AND n.i = r.i + 1)"""
+
+
+ORACLES["detect_latency_shift"] = HISTORY.replace("WITH", "WITH RECURSIVE", 1) + f""", hits AS (SELECT template_id, event_no, sec, value_ms, med FROM h WHERE before >= 10 AND med > 0 AND value_ms >= med * 3),
+  {cooled('hits', 'template_id', 3600)}
+  SELECT event_no, template_id, template_id || ' ms' AS metric, value_ms AS observed, med AS baseline, 'P3' AS severity FROM hits JOIN r USING (event_no) WHERE kept"""
+ORACLES["detect_cost_anomaly"] = ORACLES["cost_spikes"].split(" SELECT label, event_no, amount, l[")[0].replace("WITH", "WITH RECURSIVE", 1) + f""", hits AS (SELECT label, h.event_no, sec, h.amount, l[len(l) // 2 + 1] AS usual
+    FROM h JOIN act USING (event_no) WHERE len(l) >= 8 AND l[len(l) // 2 + 1] > 0 AND h.amount >= l[len(l) // 2 + 1] * 1.8),
+  {cooled('hits', 'label', 3600)}
+  SELECT event_no, label AS template_id, label || ' tokens' AS metric, amount AS observed, usual AS baseline, 'P3' AS severity FROM hits JOIN r USING (event_no) WHERE kept"""
+ORACLES["skip_nodes"] = ANNOTATED + """, st AS (SELECT source_id, line_no, component, kind_, lag(component) OVER (PARTITION BY source_id ORDER BY line_no) AS previous FROM ann),
+  mv AS (SELECT *, CASE WHEN previous <> component THEN row_number() OVER (PARTITION BY source_id, previous, component ORDER BY line_no) END AS n,
+    min(line_no) OVER (PARTITION BY source_id, previous, component) AS first_no FROM st WHERE previous IS NOT NULL),
+  ld AS (SELECT *, max(CASE WHEN n IS NOT NULL THEN lpad(n::VARCHAR, 9, '0') || lpad((999999999 - first_no)::VARCHAR, 9, '0') || component END)
+    OVER (PARTITION BY source_id, previous ORDER BY line_no) AS top FROM mv)
+  SELECT source_id, line_no AS event_no, component, previous, kind_ AS branch_kind, CASE WHEN top IS NOT NULL AND top[19:] <> component THEN top[19:] ELSE previous END AS skipped
+  FROM ld WHERE kind_ IS NOT NULL"""
+ORACLES["audit_summary"] = WEEK + """, t AS (SELECT count(*) AS total_runs, count(*) FILTER (WHERE verdict <> 'achieved') AS n_notable FROM w), dn AS (SELECT count(*) AS d FROM wd WHERE rank <= 10), sn AS (SELECT count(*) AS s FROM wk WHERE rank <= 10)
+  SELECT total_runs, n_notable, d AS n_drifts, s AS n_spikes, total_runs || ' run(s) in the last week - ' || (SELECT string_agg(n_runs || ' ' || verdict, ', ' ORDER BY n_runs DESC, verdict) FROM wc)
+   || CASE WHEN n_notable > 0 THEN ' (' || n_notable || ' worth a look)' ELSE '' END || '.' || CASE WHEN d + s > 0 THEN ' ' ELSE '' END
+   || concat_ws(' and ', CASE WHEN d > 0 THEN d || ' operation(s) trending slower or faster than earlier in the window' END, CASE WHEN s > 0 THEN s || ' spike(s) against the window''s own history' END)
+   || CASE WHEN d + s > 0 THEN '.' ELSE '' END AS summary FROM t, dn, sn"""
+ORACLES["gap_report"] = P + """, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE event_no % 3 = 0) AS x FROM act), v AS (SELECT count(DISTINCT trace_id) AS n, count(DISTINCT trace_id) FILTER (WHERE level = 'ERROR') AS f FROM act),
+  g AS (SELECT service, event_no % 50 AS inc FROM act WHERE level = 'ERROR' AND service NOT IN ('svc-1', 'svc-2') GROUP BY 1, 2 HAVING count(*) >= 3)
+  SELECT 'correlation' AS kind, format('only {:.0f}% of {} events could be tied to a request', x * 100.0::DOUBLE / n, n) AS measured FROM c WHERE n >= 50 AND x / n < 0.5
+  UNION ALL SELECT 'outcome', 'all ' || n || ' completed runs came back verdict=unknown' FROM v WHERE f = 0
+  UNION ALL SELECT 'timing', service || ' produced signals in incident ' || min(inc) || ' but no duration' FROM g GROUP BY service
+  UNION ALL SELECT 'cost', 'model calls were seen, none carried a token count'"""
