@@ -27,7 +27,7 @@ CATALOG: dict[str, Query] = {}
 HOURS = Config(
     window_s=6 * 3600, min_history_s=86_400, rate_spike_ratio=1.5, rate_clear_ratio=1.2,
     sustain_s=1200, clear_sustain_s=3600, drop_factor=4, drop_min_rate=0.01, drop_min_gap_s=600,
-    silence_min_s=1200, silence_factor=3, error_ratio=1.3, error_floor=0.2, latency_cooldown_s=3600,
+    silence_min_s=1200, silence_factor=3, error_ratio=1.3, error_floor=0.2, error_clear_ratio=1.1, latency_cooldown_s=3600,
     cost_cooldown_s=3600, cost_ratio=1.8, hold_s=900, temporal_s=1800, resolve_quiet_s=7200,
     min_trace_events=2, slow_factor=1.1, rank_margin=0.001,
 )

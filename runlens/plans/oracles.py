@@ -343,7 +343,7 @@ ORACLES["rate_conditions"] = RATES + """ SELECT template_id, sec, (w + 1)::DOUBL
 ORACLES["error_conditions"] = P + """, e AS (SELECT event_no, sec, (level = 'ERROR')::INT AS err, row_number() OVER (ORDER BY event_no) - 1 AS hist, coalesce(sum((level = 'ERROR')::INT) OVER (ORDER BY event_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM act),
   w AS (SELECT *, (SELECT NULL) AS x, hist + 1 - (SELECT count(*) FROM e b WHERE b.sec < e.sec - 21600) AS n, base + err - (SELECT coalesce(sum(b.err), 0) FROM e b WHERE b.sec < e.sec - 21600) AS k FROM e)
   SELECT event_no, (k::BIGINT) / n AS observed, base / greatest(hist, 1) AS usual, n >= 8 AND k::BIGINT / n >= greatest(0.2::DOUBLE, base / greatest(hist, 1) * 1.3::DOUBLE) AS above,
-   k::BIGINT / n <= greatest(0.05::DOUBLE, base / greatest(hist, 1) * 1.5::DOUBLE) AS below FROM w WHERE hist >= 100"""
+   k::BIGINT / n <= greatest(0.05::DOUBLE, base / greatest(hist, 1) * 1.1::DOUBLE) AS below FROM w WHERE hist >= 100"""
 ORACLES["detect_novelty"] = P + """, f AS (SELECT template_id || '/' || service AS t, min(event_no) AS event_no FROM act GROUP BY 1)
   SELECT event_no, t AS template_id, 'first_occurrence' AS metric, 1.0::DOUBLE AS observed, 0.0::DOUBLE AS baseline, CASE WHEN level = 'ERROR' THEN 'P2' ELSE 'P4' END AS severity
   FROM f JOIN act USING (event_no) WHERE level = 'ERROR' OR (SELECT count(*) FROM act b WHERE b.event_no <= f.event_no) > 100"""
