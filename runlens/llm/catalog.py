@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, url_reputation
+from . import simhash, token_files, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 CATALOG: dict[str, Query] = {
+    "op1_token_files": token_files.op1_token_files,
     "op3_simhash": simhash.op3_simhash,
     "op5_url_reputation": url_reputation.op5_url_reputation,
 }

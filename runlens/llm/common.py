@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,3 +42,11 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def per_worker(key: str, make):
+    """The object ``make()`` builds, once per Python worker: unlike a module's globals it outlives a task."""
+    store = sys.modules.setdefault("runlens_worker_objects", types.ModuleType("runlens_worker_objects")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
