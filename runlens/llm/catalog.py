@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quartile_digest, simhash, token_files, url_reputation
+from . import quartile_digest, simhash, template_removal, token_files, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ CATALOG: dict[str, Query] = {
     "op1_token_files": token_files.op1_token_files,
     "op3_simhash": simhash.op3_simhash,
     "op5_url_reputation": url_reputation.op5_url_reputation,
+    "op6_template_removal": template_removal.op6_template_removal,
     "op10_quartile_digest": quartile_digest.op10_quartile_digest,
 }
 ORACLES: dict[str, str] = {

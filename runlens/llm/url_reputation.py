@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, lower_ascii
+from .common import load, lower_ascii, written
 
 #: (action, host, path) of the query's rules
 RULES = (
@@ -87,48 +87,44 @@ def labelled_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return shown.join(seen, "doc_id").select("host", "good")
 
 
-def _with_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """``df`` with the columns of a table that an aggregation without keys made, so of one row."""
-    return df.withColumn("one", F.lit(1)).join(F.broadcast(row.withColumn("one", F.lit(1))), "one").drop("one")
-
-
-def _shrunk(groups: DataFrame, key: str, parent: str, parents: DataFrame) -> DataFrame:
-    """``key``, ``mean``, ``strength`` (posterior counts) of every group, shrunk to its parent's mean."""
-    g = groups.join(parents.select(F.col(parent), F.col("mean").alias("m")), parent)
+def _shrunk(groups: DataFrame, key: str, parent: str, parents: DataFrame) -> tuple[DataFrame, float | None]:
+    """``key``, ``mean`` and ``strength`` of every group, shrunk to its parent's mean; and the level's prior strength (None without groups)."""
+    g = written(groups.join(parents.select(F.col(parent), F.col("mean").alias("m")), parent), key)
     p = F.col("m") * (1 - F.col("m"))
-    spread = F.sum((F.col("good") - F.col("n") * F.col("m")) * (F.col("good") - F.col("n") * F.col("m")) / F.col("n"))
-    rho = F.least(F.lit(RHO[1]), F.greatest(F.lit(RHO[0]), F.coalesce((spread - F.sum(p)) / F.nullif(F.sum(p * (F.col("n") - 1)), F.lit(0.0)), F.lit(RHO[0]))))
-    k = g.agg((1 / rho - 1).alias("k"))  # one row
-    return _with_row(g, k).select(
-        key, ((F.col("good") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k"))).alias("mean"), (F.col("n") + F.col("k")).alias("strength"), "k",
-    )
-
-
-def reputations(outcomes: DataFrame) -> dict[str, DataFrame]:
-    """Posterior means and strengths by level: all (one row), suffix, domain, host."""
-    hosts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good")).withColumns(
-        {"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host")), "all": F.lit("")})
+    away = F.col("good") - F.col("n") * F.col("m")
+    spread, plain, rest = g.agg(F.sum(away * away / F.col("n")), F.sum(p), F.sum(p * (F.col("n") - 1))).first()
+    if plain is None:
+        return g.select(key, F.col("m").alias("mean"), F.col("m").alias("strength")), None
+    rho = min(RHO[1], max(RHO[0], (spread - plain) / rest if rest else RHO[0]))
+    k = 1 / rho - 1
+    return g.select(key, ((F.col("good") + k * F.col("m")) / (F.col("n") + k)).alias("mean"), (F.col("n") + k).alias("strength")), k
+
+
+def reputations(outcomes: DataFrame) -> tuple[dict[str, DataFrame], float, float]:
+    """Posterior means and strengths by level (suffix, domain, host), the mean of all, and the strength of a host that nobody labelled."""
+    counts = outcomes.groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    hosts = written(counts.withColumns({"domain": registered_domain(F.col("host")), "suffix": suffix(F.col("host")), "all": F.lit("")}), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.lit("").alias("all"))
-    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    top = total.select(F.lit("").alias("all"), ((F.col("good") + 1) / (F.col("n") + 2)).alias("mean"), (F.col("n") + 2.0).alias("strength"))
-    by_suffix = _shrunk(suffixes, "suffix", "all", top)
-    by_domain = _shrunk(domains, "domain", "suffix", by_suffix)
-    return {"all": top, "suffix": by_suffix, "domain": by_domain, "host": _shrunk(hosts, "host", "domain", by_domain)}
+    suffixes = hosts.groupBy("suffix", "all").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    n, good = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
+    top = (good + 1) / (n + 2)
+    by_suffix, _ = _shrunk(suffixes, "suffix", "all", hosts.sparkSession.range(1).select(F.lit("").alias("all"), F.lit(top).alias("mean")))
+    by_domain, _ = _shrunk(domains, "domain", "suffix", by_suffix)
+    by_host, k = _shrunk(hosts, "host", "domain", by_domain)
+    return {"suffix": by_suffix, "domain": by_domain, "host": by_host}, top, n + 2.0 if k is None else k
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, min_good: float = MIN_GOOD, z: float = Z) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, good_bound (lower posterior bound of the host, six decimals)."""
-    levels = reputations(outcomes)
+    levels, top, unseen = reputations(outcomes)
     urls = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    found = urls.groupBy("host").agg(F.lit(1).alias("_")).select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"))
-    # a host without outcomes keeps the mean of the nearest level that has some, at that level's prior strength
-    level = lambda name: levels[name].select(F.col(name), F.col("mean").alias(f"{name}_mean"), F.col("strength").alias(f"{name}_strength"), *([F.col("k").alias(f"{name}_k")] if name != "all" else []))
-    k_host = levels["host"].agg(F.max("k").alias("k_new"))
-    judged = found.join(level("host"), "host", "left").join(level("domain"), "domain", "left").join(level("suffix"), "suffix", "left")
-    judged = _with_row(_with_row(judged, level("all")), k_host)
-    mean = F.coalesce("host_mean", "domain_mean", "suffix_mean", "all_mean")
-    strength = F.coalesce(F.col("host_strength"), F.col("k_new"), F.col("all_strength"))
+    found = urls.groupBy("host").agg(F.lit(1).alias("seen")).select("host", registered_domain(F.col("host")).alias("domain"), suffix(F.col("host")).alias("suffix"))
+    # a host without outcomes keeps the mean of the nearest level that has some, at the strength of a host's prior
+    judged = found
+    for name, table in levels.items():
+        judged = judged.join(table.select(name, F.col("mean").alias(f"{name}_mean"), F.col("strength").alias(f"{name}_strength")), name, "left")
+    mean = F.coalesce("host_mean", "domain_mean", "suffix_mean", F.lit(top))
+    strength = F.coalesce(F.col("host_strength"), F.lit(unseen))
     bound = judged.select("host", F.round(mean - F.lit(z) * F.sqrt(mean * (1 - mean) / (strength + 1)), 6).alias("good_bound"))
     rule = matching_rule(F.col("host"), F.col("path"), rules)
     return (
