@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quartile_digest, simhash, template_removal, token_files, url_reputation
+from . import kneser_ney, language, quartile_digest, simhash, template_removal, token_files, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ CATALOG: dict[str, Query] = {
     "op3_simhash": simhash.op3_simhash,
     "op5_url_reputation": url_reputation.op5_url_reputation,
     "op6_template_removal": template_removal.op6_template_removal,
+    "op7_kneser_ney": kneser_ney.op7_kneser_ney,
+    "op9_language": language.op9_language,
     "op10_quartile_digest": quartile_digest.op10_quartile_digest,
 }
 ORACLES: dict[str, str] = {

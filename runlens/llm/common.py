@@ -50,3 +50,14 @@ def per_worker(key: str, make):
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
