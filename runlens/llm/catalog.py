@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser_ney, language, quartile_digest, simhash, template_removal, token_files, url_reputation
+from . import edit_match, kneser_ney, language, piece_trie, quartile_digest, simhash, template_removal, token_files, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 CATALOG: dict[str, Query] = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_piece_trie": piece_trie.op2_piece_trie,
     "op3_simhash": simhash.op3_simhash,
     "op5_url_reputation": url_reputation.op5_url_reputation,
     "op6_template_removal": template_removal.op6_template_removal,
     "op7_kneser_ney": kneser_ney.op7_kneser_ney,
+    "op8_edit_match": edit_match.op8_edit_match,
     "op9_language": language.op9_language,
     "op10_quartile_digest": quartile_digest.op10_quartile_digest,
 }
