@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_match, kneser_ney, language, piece_trie, quartile_digest, simhash, template_removal, token_files, url_reputation
+from . import edit_match, kneser_ney, language, license_rules, piece_trie, quartile_digest, simhash, template_removal, token_files, url_reputation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ CATALOG: dict[str, Query] = {
     "op1_token_files": token_files.op1_token_files,
     "op2_piece_trie": piece_trie.op2_piece_trie,
     "op3_simhash": simhash.op3_simhash,
+    "op4_license_rules": license_rules.op4_license_rules,
     "op5_url_reputation": url_reputation.op5_url_reputation,
     "op6_template_removal": template_removal.op6_template_removal,
     "op7_kneser_ney": kneser_ney.op7_kneser_ney,

@@ -51,7 +51,11 @@ class PieceTrie:
             raise ValueError("a piece holds a mark behind another character")
         self.byte_ids, self.unknown, self.kind, self.remember = byte_ids, unknown, kind, remember
         self.lengths = sorted({len(p) for p in self.ids} | {1}, reverse=True)
-        self.longest = self.lengths[0]
+        tails: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                tails.setdefault(p[-2:], set()).add(len(p))
+        self.tails = {t: sorted(found, reverse=True) for t, found in tails.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.bytes_of: list[bytes] = [p[0].encode("utf-8") if p else b"" for p in pieces]
@@ -63,16 +67,21 @@ class PieceTrie:
 
     def _merged(self, text: str) -> list[str]:
         """Merging by rank: of all neighbours that form a piece, the best score first, the leftmost of equals."""
-        s, scores = list(text), self.scores
-        while True:
-            best, at = None, -1
-            for i in range(len(s) - 1):
-                score = scores.get(s[i] + s[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                return s
-            s[at:at + 2] = [s[at] + s[at + 1]]
+        s, none = list(text), -float("inf")
+        get = self.scores.get
+        ranks = [get(a + b, none) for a, b in zip(s, s[1:], strict=False)]
+        while ranks:
+            best = max(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            s[i:i + 2] = [s[i] + s[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(s[i - 1] + s[i], none)
+            if i < len(ranks):
+                ranks[i] = get(s[i] + s[i + 1], none)
+        return s
 
     def _follows(self, before: str, piece: str) -> bool:
         key = (before, piece)
@@ -84,21 +93,23 @@ class PieceTrie:
             self.pairs[key] = ok
         return ok
 
-    def _extend_bpe(self, word: str, last: list[str], end: int) -> None:
-        """Append the last piece of the prefix of ``end`` characters."""
-        ids, pairs = self.ids, self.pairs
-        for n in self.lengths:
-            if n > end:
-                continue
-            piece = word[end - n:end]
-            if n > 1 and piece not in ids:
-                continue
-            before = last[end - n]
-            ok = pairs.get((before, piece))
-            if self._follows(before, piece) if ok is None else ok:
-                last.append(piece)
-                return
-        raise AssertionError("every prefix has a segmentation")
+    def _extend_bpe(self, word: str, last: list[str], start: int) -> None:
+        """Append the last pieces of the prefixes of over ``start`` characters."""
+        pairs, ids, tails, none = self.pairs, self.ids, self.tails, ()
+        for end in range(start + 1, len(word) + 1):
+            for n in tails.get(word[end - 2:end], none) if end > 1 else none:  # longest first
+                if n > end:
+                    continue
+                piece = word[end - n:end]
+                if piece not in ids:
+                    continue
+                before = last[end - n]
+                ok = pairs.get((before, piece))
+                if self._follows(before, piece) if ok is None else ok:
+                    last.append(piece)
+                    break
+            else:
+                last.append(word[end - 1])  # no longer piece may end here, so the character stands alone
 
     def _extend_unigram(self, word: str, last: list[str], best: list[float], end: int) -> None:
         top, choice = -float("inf"), ""
@@ -126,10 +137,10 @@ class PieceTrie:
             while same < most and word[same] == previous[same]:
                 same += 1
             del last[same + 1:], best[same + 1:]
-            for end in range(same + 1, len(word) + 1):
-                if bpe:
-                    self._extend_bpe(word, last, end)
-                else:
+            if bpe:
+                self._extend_bpe(word, last, same)
+            else:
+                for end in range(same + 1, len(word) + 1):
                     self._extend_unigram(word, last, best, end)
             out, end = [], len(word)
             while end:

@@ -27,10 +27,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, written
+from .common import load, spare, written
 from .components import components
 
 WORDS = 3
@@ -68,14 +68,18 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id``, ``fp`` (long) of every row."""
+    """``doc_id``, ``fp`` (long), ``mark`` (hash of the text) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array([fingerprint(x.as_py(), words) for x in batch.column("text")], pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), fps], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), fps, batch.column("mark")], names=["doc_id", "fp", "mark"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _mark().alias("mark")).mapInArrow(run, "doc_id long, fp long, mark long")
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def _mask(free: tuple[int, ...]) -> int:
@@ -116,5 +120,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of every class with its own columns: that of the smallest doc_id. Rows without an id cannot be named
+    and stay. Of repeated rows one stays. The texts are shuffled once, by id."""
+    fps = written(fingerprints(docs, words), "simhash")
+    first = fps.join(classes(fps, max_bits), "fp").where("doc_id = component_id").select(F.col("doc_id").alias("a_id"), F.col("mark").alias("a_mark")).distinct()
+    mark, place = spare(docs, "mark", "place")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.where("doc_id is not null").withColumn(mark, _mark())
+    kept = rows.join(first, (F.col("doc_id") == F.col("a_id")) & (F.col(mark) == F.col("a_mark")), "left_semi")
+    same = Window.partitionBy("doc_id", mark).orderBy(F.xxhash64(*own))
+    one = kept.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).select(*own)
+    return one.unionAll(docs.where("doc_id is null"))
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(load(spark, folder, "documents"))
