@@ -186,6 +186,7 @@ def _marked(text: str) -> list[str]:
     """Words without their first mark."""
     if not text:
         return []
+    text = text.replace(MARK, " ")  # the model cannot tell them apart
     words = text.split(" ")
     if "  " in text or text[0] == " " or text[-1] == " ":
         out, marks = [], ""
