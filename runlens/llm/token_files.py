@@ -83,6 +83,9 @@ class PieceEncoder:
             if len(self.known) + len(led) > self.remember:
                 self.known = {}
             new = [w for w in led if w not in self.known]
+            for w in [w for w in new if " " in w]:  # ends in further spaces, so its tokens do not tell its bounds
+                self.known[w] = self._ids(" " + w).tobytes()
+            new = [w for w in new if " " not in w]
             for i in range(0, len(new), 50_000):
                 self._learn(new[i:i + 50_000])
             get = self.known.__getitem__
