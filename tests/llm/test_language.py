@@ -18,7 +18,7 @@ def test_evidence(spark, docs_of):
     assert model.langs == ["de", "en", "fr"]
     rows = [(1, "http://a.example.com/x", page(DE, "en")), (2, "http://b.example.de/", page("12 34")), (3, "http://c.example.com/fr/1", page("")),
             (4, None, None), (5, "http://a.example.com/", page("", "fr-CA")), (6, "http://a.example.com/", page(FR, "zz")), (6, "http://a.example.com/", page(FR, "zz"))]
-    rows += [(100 + i, f"http://hot.example.org/{i}", page(FR)) for i in range(40)] + [(200, "http://hot.example.org/q", page("7"))]
+    rows += [(100 + i, f"http://hot.example.org/{i}", page(FR)) for i in range(4)] + [(200, "http://hot.example.org/q", page("7"))]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, lang string").repartition(3)
     got = language.identify_pages(df, model).collect()
     assert len(got) == len(rows)
