@@ -1,4 +1,4 @@
-"""Every threshold of the engine, in one place. Pass a changed copy to re-tune."""
+"""Every threshold of the engine, in one place. Pass a changed copy to re-tune; ``None`` is no limit."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ class Config:
 
     # row assembly
     max_continuation_lines: int = 200
-    max_line_chars: int = 65_536
+    max_line_chars: int | None = None
     backfill_bytes: int = 10 * 1024 * 1024
 
     # templates
@@ -80,8 +80,7 @@ class Config:
 
     # memory and verification
     min_similarity: float = 0.35
-    archive_compared: int = 200
-    archive_kept: int = 500
+    archive_kept: int | None = None
     verify_min_samples: int = 8
     material_change: float = 0.15
     recur_min_before: int = 3

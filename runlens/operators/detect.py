@@ -466,9 +466,10 @@ def detect_cost_anomaly(
 
 def detect_all(
     events: DataFrame, cfg: Config = DEFAULT, muted: DataFrame | None = None,
-    samples: DataFrame | None = None, costs: DataFrame | None = None,
+    samples: DataFrame | None = None, costs: DataFrame | None = None, conformance: DataFrame | None = None,
 ) -> DataFrame:
-    """Every detector over one event table; muted templates only keep the stream alive."""
+    """Every detector over one event table, with the conformance signals of its judged runs if
+    there are any; muted templates only keep the stream alive."""
     heard = events if muted is None else apply_suppressions(events, muted)
     parts = [
         detect_novelty(heard, cfg),
@@ -478,5 +479,6 @@ def detect_all(
         detect_latency_shift(heard, cfg, samples),
         detect_error_ratio(heard, cfg),
         detect_cost_anomaly(heard, cfg, costs),
+        *([] if conformance is None else [conformance.select(*SIGNAL)]),
     ]
     return reduce(DataFrame.unionByName, parts).select(*SIGNAL)

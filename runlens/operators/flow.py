@@ -147,17 +147,29 @@ def judge_runs(
     """One verdict per run: failed > unknown > hollow > degraded > achieved.
 
     One aggregation over the runs; the flags of the few critical steps arrive by a
-    small join, so neither run size nor source size matters.
+    small join, so neither run size nor source size matters. The first three error lines
+    of a failed run are ranked on error rows only, which Spark cuts before the shuffle.
     """
     critical = steps.where("critical").select(
         "source_id", "template_id", F.lit(True).alias("__critical")
     )
-    has_purpose = critical.groupBy("source_id").agg(F.lit(True).alias("__marked"))
+    step = F.struct("median_rank", "template_id", F.left("label", F.lit(36)).alias("label"))
+    has_purpose = steps.where("critical").groupBy("source_id").agg(
+        F.lit(True).alias("__marked"),
+        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(step)), 1, 3), lambda x: x["label"]), ", ").alias("__family"),
+    )
     error = F.col("level").isin("ERROR", "CRITICAL")
     text = F.col("text_redacted") if "text_redacted" in events.columns else F.col("template_id")
     head = F.left(classify.head_line(text), F.lit(160))
+    service = F.col("service") if "service" in events.columns else F.lit("")
+    linked = events.where(F.col("trace_id").isNotNull())
+    nth = F.row_number().over(Window.partitionBy(*RUN).orderBy("event_no"))
+    errors = (
+        linked.where(error).select(*RUN, "event_no", head.alias("__line")).withColumn("__nth", nth).where("__nth <= 3")
+        .groupBy(*RUN).agg(F.transform(F.array_sort(F.collect_list(F.struct("__nth", "__line"))), lambda x: x["__line"]).alias("__errors"))
+    )
     runs = (
-        events.where(F.col("trace_id").isNotNull())
+        linked
         .join(critical, ["source_id", "template_id"], "left")
         .groupBy(*RUN)
         .agg(
@@ -168,7 +180,8 @@ def judge_runs(
             F.max("ts").alias("ended_at"),
             F.min_by(head, "event_no").alias("__first"),
             F.max_by(head, "event_no").alias("__last"),
-            F.min_by(head, F.when(error, F.col("event_no"))).alias("__error"),
+            F.min_by(service, "event_no").alias("service"),
+            F.max("event_no").alias("last_event_no"),
         )
     )
     span = F.coalesce(
@@ -177,6 +190,7 @@ def judge_runs(
     judged = (
         runs.join(has_purpose, "source_id", "left")
         .join(spec.select("source_id", "p95_s"), "source_id", "left")
+        .join(errors, RUN, "left")
         .withColumn("duration_s", span)
         .withColumn("slow", F.coalesce((F.col("p95_s") > 0) & (F.col("duration_s") > F.col("p95_s") * cfg.slow_factor), F.lit(False)))
     )
@@ -189,18 +203,29 @@ def judge_runs(
         .otherwise("achieved")
     )
     evidence = (
-        F.when(F.col("verdict") == "failed", F.array("__error"))
+        F.when(F.col("verdict") == "failed", F.col("__errors"))
         .when(F.col("verdict") == "hollow", F.array("__first", "__last"))
         .when(F.col("verdict") == "degraded", F.array("__last"))
         .otherwise(F.array().cast("array<string>"))
     )
+    took, usual = F.format_string("%.0fs", "duration_s"), F.format_string("%.0fs", "p95_s")
+    deviation = lambda kind, severity, expected, observed: F.struct(
+        F.lit(kind).alias("type"), F.lit(severity).alias("severity"), expected.alias("expected"), observed.alias("observed"))
     deviations = F.array_compact(F.array(
-        F.when(marked & ~F.col("purpose_ran"), F.struct(F.lit("purpose_never_ran").alias("type"), F.lit("P2").alias("severity"))),
-        F.when(F.col("slow"), F.struct(F.lit("slow_flow").alias("type"), F.lit("P3").alias("severity"))),
+        F.when(marked & ~F.col("purpose_ran"), deviation(
+            "purpose_never_ran", "P2", F.concat(F.lit("one of the purpose steps ("), F.col("__family"), F.lit("...)")), F.lit("no purpose step ran; no error raised"))),
+        F.when(F.col("slow"), deviation("slow_flow", "P3", F.concat(F.lit("<= "), usual, F.lit(" (p95)")), took)),
     ))
+    reason = (
+        F.when(F.col("verdict") == "failed", F.concat(F.col("n_errors").cast("string"), F.lit(" error event(s) in the trace")))
+        .when(F.col("verdict") == "unknown", "no step is marked as the purpose of these runs")
+        .when(F.col("verdict") == "hollow", "ended without an error, but none of its purpose steps ran")
+        .when(F.col("verdict") == "degraded", F.concat(F.lit("achieved its purpose in "), took, F.lit(" against a p95 of "), usual))
+        .otherwise("purpose steps ran, no errors, usual duration")
+    )
     return judged.withColumn("verdict", verdict).select(
-        *RUN, "verdict", "n_events", "n_errors", "duration_s", "opened_at", "ended_at",
-        evidence.alias("evidence"), deviations.alias("deviations"),
+        *RUN, "verdict", reason.alias("reason"), "n_events", "n_errors", "duration_s", "opened_at", "ended_at", "service",
+        "last_event_no", evidence.alias("evidence"), deviations.alias("deviations"),
     )
 
 
@@ -216,22 +241,27 @@ def complete_runs(verdicts: DataFrame, events: DataFrame, cfg: Config = DEFAULT)
 
 
 def conformance_signals(verdicts: DataFrame) -> DataFrame:
-    """One signal per P2 deviation of a judged run."""
+    """One signal per P2 deviation of a judged run, at its last event and with the columns of every other signal."""
+    flow = F.concat(F.lit("flow '"), F.col("source_id"), F.lit("': "), F.col("d.expected"), F.lit(" - observed: "), F.col("d.observed"))
     return (
         verdicts.select("*", F.explode("deviations").alias("d"))
         .where("d.severity = 'P2'")
         .select(
             "source_id",
             F.lit("ConformanceRate").alias("detector"),
+            F.col("last_event_no").alias("event_no"),
+            F.floor(F.unix_micros("ended_at") / 1_000_000).alias("sec"),
+            F.col("ended_at").alias("ts"),
+            "service",
             F.col("d.type").alias("metric"),
             F.lit(0.0).alias("observed"),
             F.lit(1.0).alias("baseline"),
             F.lit(0.0).alias("ratio"),
-            F.col("ended_at").alias("ts"),
+            F.lit(0.0).alias("sustained_s"),
             F.lit("P2").alias("severity"),
             "trace_id",
             F.lit("").alias("template_id"),
-            "evidence",
+            F.concat(F.array(flow), F.coalesce("evidence", F.array().cast("array<string>"))).alias("evidence"),
         )
     )
 

@@ -13,6 +13,8 @@ from ..plans import scan
 def truncate_long_lines(df: DataFrame, text: str = "payload", cfg: Config = DEFAULT) -> DataFrame:
     """Cut a pathological line and say so in the line."""
     n = cfg.max_line_chars
+    if n is None:
+        return df
     cut = F.concat(F.left(F.col(text), F.lit(n)), F.lit("…[truncated]"))
     return df.withColumn(text, F.when(F.length(text) > n, cut).otherwise(F.col(text)))
 

@@ -34,7 +34,7 @@ def incident_signature(members: DataFrame) -> DataFrame:
 
 
 def archive_incidents(signatures: DataFrame, archive: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """M2: upsert by (source, incident number, opening time), newest ``archive_kept`` per source.
+    """M2: upsert by (source, incident number, opening time), all of them unless ``archive_kept`` sets a number per source.
 
     A row archived again keeps the outcome and note it already has.
     """
@@ -52,6 +52,8 @@ def archive_incidents(signatures: DataFrame, archive: DataFrame | None = None, c
             for c in value
         ]
         merged = fresh.join(old, key, "full_outer").select(*key, *pick)
+    if cfg.archive_kept is None:
+        return merged
     order = F.struct("opened_at", "incident_no")
     return keep_last_n(merged.withColumn("__o", order), ["source_id"], "__o", cfg.archive_kept).drop("__o")
 
@@ -77,42 +79,72 @@ def similarity(a: str, b: str) -> Column:
 def similar_incidents(
     queries: DataFrame, archive: DataFrame, top: int = 3, cfg: Config = DEFAULT
 ) -> DataFrame:
-    """M3: the best precedents of each incident.
-
-    An incident is compared with the newest ``archive_compared`` archived ones of its
-    source, as the archive is meant to be read; those are one bounded array per source,
-    so the fan-out per incident is fixed and no incident pairs are formed beyond it.
+    """M3: the best precedents of each incident, out of the whole archive of its source.
+
+    Incidents that look the same are scored once: both sides are reduced to distinct signatures, an archived
+    signature keeping its newest ``top + 1`` incidents (one may be the asked one itself; older ones can only tie).
+    Candidates come from two inverted indexes: signatures that share a template or a word of the cause, and, since
+    detectors, services and severity alone can reach the least similarity too, the newest incidents of every combination
+    of those three that is close enough by itself. A signature outside both is outranked by these. The least similarity
+    must be above what services and severity give together (0.2).
     """
     parts = ["templates", "cause_tokens", "detectors", "services", "severity"]
-    entry = F.struct("incident_no", "opened_at", *parts, "cause", "outcome")
-    newest = keep_last_n(
-        archive.withColumn("__o", F.struct("opened_at", "incident_no")), ["source_id"], "__o", cfg.archive_compared
+    frame = ["detectors", "services", "severity"]
+    entry = F.struct("opened_at", "incident_no", "cause", "outcome")
+    newest = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("opened_at"), F.desc("incident_no")))
+    coded = lambda df: df.withColumns({"class": F.xxhash64(*parts), "frame": F.xxhash64(*frame)})
+    old = coded(archive)
+    ranked = old.withColumns({"__in_class": newest("source_id", "class"), "__in_frame": newest("source_id", "frame")})
+    kept = ranked.where((F.col("__in_class") <= top + 1) | (F.col("__in_frame") <= top + 1))
+    members = kept.where(F.col("__in_class") <= top + 1).groupBy("source_id", "class").agg(F.collect_list(entry).alias("members"))
+    looks = kept.groupBy("source_id", "class").agg(*[F.first(c).alias(c) for c in parts])
+    asked = coded(queries)
+    signatures = asked.groupBy("source_id", "class").agg(*[F.first(c).alias(c) for c in (*parts, "frame")])
+
+    def terms(df: DataFrame, name: str) -> DataFrame:
+        marked = lambda c, mark: F.transform(c, lambda x: F.concat(F.lit(mark), x))
+        return df.select("source_id", F.col("class").alias(name), F.explode(F.array_distinct(F.concat(marked("templates", "t"), marked("cause_tokens", "c")))).alias("term"))
+
+    shared = terms(signatures, "q").join(terms(looks, "p"), ["source_id", "term"]).select("source_id", "q", "p").distinct()
+    frames = signatures.groupBy("source_id", "frame").agg(*[F.first(c).alias(c) for c in frame])
+    shelf = kept.where(F.col("__in_frame") <= top + 1).select("source_id", "frame", F.col("class").alias("p"), *frame)
+    old_frames = shelf.groupBy("source_id", "frame").agg(*[F.first(c).alias(c) for c in frame])
+    none = F.array().cast("array<string>")
+    look = F.struct("frame", none.alias("templates"), none.alias("cause_tokens"), *frame)
+    by_detector = lambda df, name: df.select("source_id", F.explode("detectors").alias("detector"), look.alias(name))
+    close = (
+        by_detector(frames, "q").join(by_detector(old_frames, "p"), ["source_id", "detector"])
+        .where(F.round(similarity("q", "p"), 3) >= cfg.min_similarity)
+        .select("source_id", F.col("q.frame").alias("frame"), F.col("p.frame").alias("p_frame")).distinct()
     )
-    shelf = newest.groupBy("source_id").agg(F.collect_list(entry).alias("shelf"))
-    # scoring is the work here: spread it over all cores even if the incidents are few bytes
-    spark = queries.sparkSession
-    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    asked = queries.repartition(cores, "source_id", "incident_no", "opened_at").select(
-        "source_id", F.struct("incident_no", "opened_at", *parts).alias("q")
+    framed = (
+        signatures.select("source_id", F.col("class").alias("q"), "frame").join(close, ["source_id", "frame"])
+        .join(shelf.select("source_id", F.col("frame").alias("p_frame"), "p").distinct(), ["source_id", "p_frame"]).select("source_id", "q", "p")
     )
-    pairs = (
-        asked.join(shelf, "source_id")
-        .select("source_id", "q", F.explode("shelf").alias("p"))
-        .where(~((F.col("q.incident_no") == F.col("p.incident_no")) & (F.col("q.opened_at") == F.col("p.opened_at"))))
-        .withColumn("similarity", similarity("q", "p"))
+    pairs = shared.unionByName(framed).distinct()
+    a = signatures.select("source_id", F.col("class").alias("q"), F.struct(*parts).alias("qs"))
+    b = looks.select("source_id", F.col("class").alias("p"), F.struct(*parts).alias("ps")).join(
+        members.withColumnRenamed("class", "p"), ["source_id", "p"])
+    scored = (
+        pairs.join(a, ["source_id", "q"]).join(b, ["source_id", "p"])
+        .withColumn("similarity", similarity("qs", "ps"))
         # compared at three decimals, as the score is read
         .where(F.round("similarity", 3) >= cfg.min_similarity)
+        .select("source_id", "q", "similarity", F.explode("members").alias("m"))
     )
-    best = Window.partitionBy("source_id", "q.incident_no", "q.opened_at").orderBy(
-        F.round("similarity", 3).desc(), F.col("p.opened_at").desc(), F.col("p.incident_no").desc()
-    )
+    order = [F.round("similarity", 3).desc(), F.col("m.opened_at").desc(), F.col("m.incident_no").desc()]
+    best = Window.partitionBy("source_id", "q").orderBy(*order)
+    per_look = scored.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= top + 1)
+    own = Window.partitionBy("source_id", "incident_no", "opened_at").orderBy(*order)
     return (
-        pairs.withColumn("rank", F.row_number().over(best))
+        asked.select("source_id", F.col("class").alias("q"), "incident_no", "opened_at").join(per_look, ["source_id", "q"])
+        .where(~((F.col("incident_no") == F.col("m.incident_no")) & (F.col("opened_at") == F.col("m.opened_at"))))
+        .withColumn("rank", F.row_number().over(own))
         .where(F.col("rank") <= top)
         .select(
-            "source_id", F.col("q.incident_no").alias("incident_no"), F.col("p.incident_no").alias("precedent_no"),
-            F.col("p.opened_at").alias("precedent_opened_at"), "similarity", "rank",
-            F.col("p.cause").alias("cause"), F.coalesce("p.outcome", F.lit("not recorded")).alias("outcome"),
+            "source_id", "incident_no", F.col("m.incident_no").alias("precedent_no"),
+            F.col("m.opened_at").alias("precedent_opened_at"), "similarity", "rank",
+            F.col("m.cause").alias("cause"), F.coalesce("m.outcome", F.lit("not recorded")).alias("outcome"),
         )
     )
 

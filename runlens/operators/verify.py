@@ -115,9 +115,13 @@ def headline(recurrence: DataFrame, operations: DataFrame) -> DataFrame:
 
 
 def downgrade_fixes(archive: DataFrame, recurrence: DataFrame) -> DataFrame:
-    """M8: a fix marked as working whose problem came back did not work; never the reverse."""
+    """M8: a fix marked as working whose problem came back did not work; never the reverse.
+
+    An incident is named by source, number and opening time in both tables; one that no snapshot was taken for has no
+    row in ``recurrence`` and stays as it is."""
+    key = ["source_id", "incident_no", "opened_at"]
     back = recurrence.where("verdict = 'recurred'").select(
-        "source_id", "incident_no",
+        *key,
         F.concat(
             F.lit("auto-verified: "), F.col("worst_template_id"), F.lit(" has fired "),
             F.col("worst_since").cast("string"), F.lit(" more time(s) since the fix"),
@@ -125,7 +129,7 @@ def downgrade_fixes(archive: DataFrame, recurrence: DataFrame) -> DataFrame:
     )
     hit = (F.col("outcome") == "worked") & F.col("__note").isNotNull()
     return (
-        archive.join(back, ["source_id", "incident_no"], "left")
+        archive.join(back, key, "left")
         .withColumns({
             "outcome_note": F.when(hit, F.col("__note")).otherwise(F.col("outcome_note")),
             "outcome": F.when(hit, "did_not_work").otherwise(F.col("outcome")),

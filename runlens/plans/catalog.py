@@ -249,7 +249,7 @@ def parse_mixed_lines(spark, d):  # P2, P5, P6
 @query
 def strip_ansi(spark, d):  # P1
     c = tables.load(spark, d, "conversations")
-    painted = F.concat(F.lit("\x1b[1;31m"), F.col("role"), F.lit("\x1b[0m "), F.left("text", F.lit(80)))
+    painted = F.concat(F.lit("\x1b[1;31m"), F.col("role"), F.lit("\x1b[0m "), F.col("text"))
     return c.select("conv_id", "turn", F.md5(parse.strip_ansi(painted)).alias("digest"))
 
 
@@ -377,7 +377,7 @@ def error_like_events(spark, d):  # P26
 @query
 def extract_targets(spark, d):  # P27
     pages = tables.load(spark, d, "pages")
-    text = F.concat(F.col("url"), F.lit(" via localhost:"), (F.col("page_id") % 9 + 8000).cast("string"), F.lit(" and localhost:8001"))
+    text = F.concat(F.col("url"), F.lit(" via localhost:"), (F.col("page_id") % 9 + 8000).cast("string"), F.lit(" and localhost:8001 "), F.col("html"))
     return pages.select("page_id", F.explode(keys.extract_targets(text)).alias("t")).select("page_id", "t.*")
 
 
@@ -835,7 +835,16 @@ def complete_runs(spark, d):  # C4
 
 @query
 def conformance_signals(spark, d):  # C5
-    return flow.conformance_signals(_verdicts(spark, d)).select("trace_id", "metric", _list(F.col("evidence")).alias("evidence"))
+    found = flow.conformance_signals(_verdicts(spark, d))
+    return found.select("trace_id", "event_no", "sec", "service", "metric", _list(F.col("evidence")).alias("evidence"))
+
+
+@query
+def verdict_reasons(spark, d):  # C3
+    return _verdicts(spark, d).select(
+        "trace_id", "reason", "service", "last_event_no", _list(F.col("evidence")).alias("evidence"),
+        _list(F.transform("deviations", lambda x: F.concat_ws(";", x["type"], x["severity"], x["expected"], x["observed"]))).alias("deviations"),
+    )
 
 
 @query
@@ -962,16 +971,16 @@ def verify_fix(spark, d):  # M6
 
 
 def _recurrence(spark, d):
-    ev = _events(spark, d).withColumn("template_id", F.concat_ws("/", "template_id", "service"))
-    rare = ev.where("value_ms > 250")
-    watched = ev.where("value_ms > 180").select("source_id", F.split("trace_id", "-")[0].cast("long").alias("incident_no"), "template_id")
-    before = verify.snapshot_templates(rare.where(F.col("ts") < F.lit(datetime(2024, 1, 15))))
-    return verify.verify_recurrence(watched, before, verify.snapshot_templates(rare), ["incident_no"], replace(Config(), recur_min_before=1))
+    """One incident per user and week; a template is what a user did at a service."""
+    ev = _events(spark, d).withColumn("template_id", F.concat_ws("/", "template_id", "service", F.split("trace_id", "-")[0]))
+    watched = ev.select("source_id", F.split("trace_id", "-")[0].cast("long").alias("incident_no"), F.date_trunc("week", "ts").alias("opened_at"), "template_id")
+    before = verify.snapshot_templates(ev.where(F.col("ts") < F.lit(datetime(2024, 1, 15))))
+    return verify.verify_recurrence(watched, before, verify.snapshot_templates(ev), ["incident_no", "opened_at"], replace(Config(), recur_min_before=2))
 
 
 @query
 def verify_recurrence(spark, d):  # M7
-    return _recurrence(spark, d).drop("source_id")
+    return _recurrence(spark, d).withColumn("opened_at", F.unix_seconds("opened_at")).withColumnRenamed("opened_at", "opened_s").drop("source_id")
 
 
 @query
@@ -982,8 +991,9 @@ def fix_headline(spark, d):  # M7
 @query
 def downgrade_fixes(spark, d):  # M8
     rows = _archive(spark, d).withColumn("outcome", F.when(F.col("incident_no") % 2 == 0, "worked"))
-    out = verify.downgrade_fixes(rows, _recurrence(spark, d))
-    return out.groupBy("incident_no", "outcome", "outcome_note").agg(F.count(F.lit(1)).alias("n_rows"))
+    # the newest incident of a user was never watched
+    watched = _recurrence(spark, d).where(F.col("opened_at") < F.lit(datetime(2024, 1, 22)))
+    return verify.downgrade_fixes(rows, watched).select("incident_no", F.unix_seconds("opened_at").alias("opened_s"), "outcome", "outcome_note")
 
 
 @query
@@ -1021,5 +1031,5 @@ def ground_citations(spark, d):  # M12
 def settle_hollow(spark, d):  # M12
     claims, said = _citations(spark, d)
     runs = tables.conversation_events(spark, d).select(F.col("trace_id").cast("long").alias("conv_id")).distinct().withColumn("verdict", F.lit("hollow"))
-    grounded = reports.ground_citations(claims.where("claim_id % 4 = 0"), said, ["conv_id"])
+    grounded = reports.ground_citations(claims, said, ["conv_id"])
     return reports.settle_hollow(runs, grounded, ["conv_id"]).groupBy("verdict").agg(F.count(F.lit(1)).alias("n_runs"))

@@ -120,7 +120,7 @@ ORACLES["merge_counts"] = P + " SELECT template_id, sec // 60 * 60 AS minute_s,
 ORACLES["parse_lines"] = L + """ SELECT line_no, payload[1:10] AS ts_date, payload[12:19] AS clock, epoch_us(ts) // 1000000 AS ts_s,
   CASE WHEN payload[21:25] = 'ERROR' THEN 'ERROR' ELSE 'INFO' END AS level, payload[21:] AS message FROM lines"""
 ORACLES["parse_mixed_lines"] = M + " SELECT line_no, clock, level, message FROM parsed"
-ORACLES["strip_ansi"] = "SELECT conv_id, turn, md5(role || ' ' || left(text, 80)) AS digest FROM conversations"
+ORACLES["strip_ansi"] = "SELECT conv_id, turn, md5(role || ' ' || text) AS digest FROM conversations"
 ORACLES["line_predicates"] = M + " SELECT line_no, is_cont, kind IN (3, 4) AS is_noise FROM parsed"
 ORACLES["redact_emails"] = f"""SELECT doc_id, len(regexp_extract_all(text, {lit(redact.EMAIL)})) AS emails,
   md5({swap('text', redact.EMAIL, '<EMAIL>')}) AS digest FROM documents"""
@@ -143,14 +143,14 @@ ORACLES["extract_keys"] = f"""{L} SELECT line_no, coalesce({', '.join(part('payl
 ORACLES["to_seconds"] = P + " SELECT event_no, CAST(sec % 86400 AS DOUBLE) AS clock_s, epoch_us(ts) AS instant_us, CAST(NULL AS DOUBLE) AS none_s FROM act"
 ORACLES["component_of"] = f"""{L} SELECT lower({part('payload', keys.TAG)}) AS component, lower({part("regexp_replace(payload, '" + chr(92) + "[.*" + chr(92) + "] ', '')", keys.LOGGER)}) AS logger,
   count(*) AS n_lines FROM lines GROUP BY 1, 2"""
-ORACLES["infer_components"] = f"""{L} SELECT {cases("split_part(payload, '] ', 2)", [(p, lit(n)) for n, p in classify.COMPONENTS], "'Other'")} AS component,
+ORACLES["infer_components"] = f"""{L} SELECT {cases("split_part(payload, '] ', 2)", [(p, lit(n)) for p, n in classify.COMPONENTS], "'Other'")} AS component,
   count(*) AS n_lines FROM lines GROUP BY 1"""
 ORACLES["name_components"] = L + " SELECT CASE WHEN t = 'error' THEN 'runtime' ELSE t END AS component, count(*) AS n_lines FROM (SELECT regexp_extract(payload, '\\[(\\w+)\\]', 1) AS t FROM lines) GROUP BY 1"
 ANNOTATED = M + f""", a AS (SELECT *, {cases('message', [(p, str(i)) for i, (p, *_) in enumerate(classify.TRANSITIONS)])} AS tr,
   {cases('message', [(p, lit(k)) for p, k, _ in classify.BRANCHES])} AS kind_, {has('message', '(?iU)' + classify.RUN_START)} AS is_start,
   {has('message', '(?iU)' + classify.COMPLETION)} AS said_done,
   CASE WHEN level IN ('ERROR', 'WARN') THEN {cases('message', [(p, lit(c)) for p, c, _ in classify.CAUSES])} END AS cause,
-  {cases('message', [(p, lit(n)) for n, p in classify.COMPONENTS], "'Other'")} AS component FROM parsed),
+  {cases('message', [(p, lit(n)) for p, n in classify.COMPONENTS], "'Other'")} AS component FROM parsed),
  t(tr, stage, status, label) AS (VALUES {', '.join(f"({i}, {lit(s) if s else 'NULL'}, {lit(x)}, {lit(lb)})" for i, (_, s, x, lb) in enumerate(classify.TRANSITIONS))}),
  ann AS (SELECT a.*, stage, status, label, coalesce(stage = 'response' AND status = 'completed', false) OR said_done AS is_end FROM a LEFT JOIN t USING (tr))"""
 ORACLES["infer_transitions"] = ANNOTATED + " SELECT stage, status, label, is_start, is_end, count(*) AS n_lines FROM ann GROUP BY ALL"
@@ -165,7 +165,7 @@ ORACLES["cause_words"] = f"""WITH w AS (SELECT doc_id, list_sort(list_distinct(l
   list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: length(x) > 2 AND x NOT IN ({', '.join(lit(s) for s in classify.STOPWORDS)})) AS q FROM documents)
   SELECT doc_id, md5(array_to_string(c, '|')) AS tokens, md5(array_to_string(list_filter(q, lambda x, i: list_position(q, x) = i), '|')) AS terms FROM w"""
 ORACLES["step_labels"] = "SELECT doc_id, left(split_part(text, chr(10), 1), 70) AS label FROM documents"
-ORACLES["extract_targets"] = """WITH x AS (SELECT page_id, url AS text, 8000 + page_id % 9 AS p FROM pages), web AS (SELECT page_id,
+ORACLES["extract_targets"] = """WITH x AS (SELECT page_id, url || ' ' || html AS text, 8000 + page_id % 9 AS p FROM pages), web AS (SELECT page_id,
    regexp_extract(text, 'https?://([\\pL\\pN_.-]+)', 1) AS host, TRY_CAST(nullif(regexp_extract(text, 'https?://[\\pL\\pN_.-]+(?::(\\d+))?', 1), '') AS INT) AS port,
    regexp_extract(text, 'https?://[\\pL\\pN_.-]+(:\\d+)?') AS url, false AS local FROM x WHERE regexp_matches(text, 'https?://[\\pL\\pN_.-]'))
   SELECT * FROM web UNION ALL SELECT page_id, 'localhost', p, 'localhost:' || p, true FROM x UNION ALL SELECT page_id, 'localhost', 8001, 'localhost:8001', true FROM x WHERE p <> 8001"""
@@ -267,13 +267,20 @@ ORACLES["learn_profile"] = f"""WITH {LINES}, {MIXED}, first AS (SELECT regexp_ex
   UNION ALL SELECT source_id, count(*), 'json', 'time', true, '', 'none', false FROM mixed WHERE kind <> 6 GROUP BY source_id"""
 JUDGED = FLOW + """, runs AS (SELECT trace_id, count(*) AS n_events, count(*) FILTER (WHERE level = 'ERROR') AS n_errors, bool_or(template_id = 'purchase') AS purpose,
    (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0 AS duration_s, max(ts) AS ended_at, arg_min(text, event_no) AS first, arg_max(text, event_no) AS last,
-   arg_min(text, event_no) FILTER (WHERE level = 'ERROR') AS failed_on FROM act GROUP BY 1),
+   list(text ORDER BY event_no) FILTER (WHERE level = 'ERROR') AS failed_on, arg_min(service, event_no) AS service, max(event_no) AS last_event_no FROM act GROUP BY 1),
   v AS (SELECT *, CASE WHEN n_errors > 0 THEN 'failed' WHEN NOT purpose THEN 'hollow' WHEN duration_s > (SELECT p95_s FROM spec) * 1.1 THEN 'degraded' ELSE 'achieved' END AS verdict FROM runs)"""
 ORACLES["verdict_counts"] = JUDGED + " SELECT verdict, count(*) AS n_runs FROM v GROUP BY 1"
 ORACLES["run_verdicts"] = JUDGED + " SELECT trace_id, verdict, n_events, n_errors, duration_s FROM v WHERE n_events >= 2 AND (SELECT max(ts) FROM act) - ended_at >= INTERVAL 20 SECOND"
 ORACLES["complete_runs"] = JUDGED + " SELECT trace_id, n_events FROM v WHERE n_events >= 3 AND (SELECT max(ts) FROM act) - ended_at >= INTERVAL 5 DAY"
-ORACLES["conformance_signals"] = JUDGED + """ SELECT trace_id, 'purpose_never_ran' AS metric, CASE verdict WHEN 'failed' THEN failed_on WHEN 'hollow' THEN first || '|' || last END AS evidence
-  FROM v WHERE NOT purpose"""
+JUDGED_LINES = JUDGED + """, sp AS (SELECT p95_s AS p95 FROM spec), w AS (SELECT v.*, CASE verdict WHEN 'failed' THEN array_to_string(failed_on[:3], '|') WHEN 'hollow' THEN first || '|' || last WHEN 'degraded' THEN last ELSE '' END AS told,
+    round(duration_s)::BIGINT || 's' AS took, coalesce(p95 > 0 AND duration_s > p95 * 1.1, false) AS slow, round(p95)::BIGINT || 's' AS usual FROM v, sp)"""
+ORACLES["conformance_signals"] = JUDGED_LINES + """ SELECT trace_id, last_event_no AS event_no, epoch_us(ended_at) // 1000000 AS sec, service, 'purpose_never_ran' AS metric,
+  concat_ws('|', 'flow ''activity'': one of the purpose steps (' || (SELECT left(arg_min(text, event_no), 36) FROM act WHERE template_id = 'purchase') || '...) - observed: no purpose step ran; no error raised', nullif(told, '')) AS evidence FROM w WHERE NOT purpose"""
+ORACLES["verdict_reasons"] = JUDGED_LINES + """ SELECT trace_id, service, last_event_no, told AS evidence,
+  CASE verdict WHEN 'failed' THEN n_errors || ' error event(s) in the trace' WHEN 'hollow' THEN 'ended without an error, but none of its purpose steps ran'
+   WHEN 'degraded' THEN 'achieved its purpose in ' || took || ' against a p95 of ' || usual ELSE 'purpose steps ran, no errors, usual duration' END AS reason,
+  concat_ws('|', CASE WHEN NOT purpose THEN 'purpose_never_ran;P2;one of the purpose steps (' || (SELECT left(arg_min(text, event_no), 36) FROM act WHERE template_id = 'purchase') || '...);no purpose step ran; no error raised' END,
+   CASE WHEN slow THEN 'slow_flow;P3;<= ' || usual || ' (p95);' || took END) AS deviations FROM w"""
 ORACLES["missing_steps"] = FLOW + """, s AS (SELECT template_id, count(*) / (SELECT traces_mined FROM mined) AS presence FROM firsts GROUP BY 1)
   SELECT t.trace_id, s.template_id AS step_id, presence FROM (SELECT DISTINCT trace_id FROM act) t, s WHERE presence >= 0.48 AND s.template_id <> 'purchase'
    AND NOT EXISTS (SELECT 1 FROM act a WHERE a.trace_id = t.trace_id AND a.template_id = s.template_id)"""
@@ -307,7 +314,7 @@ ARCHIVE = P + """, ar AS (SELECT user_id AS incident_no, date_trunc('week', ts):
    row_number() OVER (ORDER BY opened_at DESC, incident_no DESC) AS age FROM ar)"""
 ORACLES["recurring_patterns"] = ARCHIVE + """ SELECT kind, value, count(*) AS n_incidents FROM (SELECT 'template' AS kind, unnest(templates) AS value FROM arc
   UNION ALL SELECT 'detector', unnest(detectors) FROM arc) GROUP BY 1, 2 HAVING count(*) >= 2"""
-ORACLES["archive_incidents"] = ARCHIVE + " SELECT incident_no, epoch_us(opened_at) // 1000000 AS opened_s, CASE WHEN incident_no % 2 = 0 THEN 'worked' END AS outcome, severity FROM arc WHERE age <= 500"
+ORACLES["archive_incidents"] = ARCHIVE + " SELECT incident_no, epoch_us(opened_at) // 1000000 AS opened_s, CASE WHEN incident_no % 2 = 0 THEN 'worked' END AS outcome, severity FROM arc"
 
 
 def jaccard(f: str) -> str:
@@ -318,7 +325,7 @@ def jaccard(f: str) -> str:
 
 ORACLES["similar_incidents"] = ARCHIVE + f""", pr AS (SELECT q.incident_no, q.opened_at AS own, p.incident_no AS precedent_no, p.opened_at AS then_, round(0.0::DOUBLE + 0.35::DOUBLE * {jaccard('templates')} + 0.25::DOUBLE * {jaccard('cause_tokens')}
    + 0.2::DOUBLE * {jaccard('detectors')} + 0.1::DOUBLE * {jaccard('services')} + 0.1::DOUBLE * (CASE WHEN q.severity = p.severity THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 3) AS similarity
-   FROM arc q, arc p WHERE p.age <= 200 AND NOT (q.incident_no = p.incident_no AND q.opened_at = p.opened_at))
+   FROM arc q, arc p WHERE NOT (q.incident_no = p.incident_no AND q.opened_at = p.opened_at))
   SELECT incident_no, precedent_no, epoch_us(then_) // 1000000 AS precedent_s, similarity FROM (SELECT *, row_number() OVER (PARTITION BY incident_no, own ORDER BY similarity DESC, then_ DESC, precedent_no DESC) AS r
    FROM pr WHERE similarity >= 0.35) WHERE r <= 3"""
 ORACLES["record_outcome"] = ARCHIVE + " SELECT CASE WHEN severity = 'P2' THEN 'worked' END AS outcome, CASE WHEN severity = 'P2' THEN 'kept' END AS outcome_note, count(*) AS n_incidents FROM arc GROUP BY 1, 2"
@@ -386,17 +393,18 @@ HALVES = P + """, k AS (SELECT service AS component, template_id AS operation, v
   vo AS (SELECT component, operation, CASE WHEN fresh < 8 THEN 'too-early' WHEN tc <= -0.15 OR mc <= -0.15 THEN 'held' WHEN tc >= 0.15 OR mc >= 0.15 THEN 'worse' ELSE 'unchanged' END AS verdict, fresh FROM vf)"""
 ORACLES["snapshot_fix"] = HALVES + " SELECT * FROM half"
 ORACLES["verify_fix"] = HALVES + " SELECT component, operation, verdict, fresh FROM vo"
-RECUR = HALVES + """, rare AS (SELECT template_id || '/' || service AS t, ts FROM act WHERE value_ms > 250), wt AS (SELECT DISTINCT user_id AS incident_no, template_id || '/' || service AS t FROM act WHERE value_ms > 180),
-  rc AS (SELECT incident_no, t, (SELECT count(*) FROM rare r WHERE r.t = wt.t AND r.ts < '2024-01-15') AS was, (SELECT count(*) FROM rare r WHERE r.t = wt.t AND r.ts >= '2024-01-15') AS since FROM wt),
-  rv AS (SELECT incident_no, CASE WHEN count(*) FILTER (WHERE since > 0) > 0 THEN 'recurred' WHEN count(*) FILTER (WHERE was >= 1) = 0 THEN 'too-early' ELSE 'held' END AS verdict, count(*) AS n_templates,
-   count(*) FILTER (WHERE was >= 1) AS n_watchable, arg_max(t, lpad(since::VARCHAR, 9, '0') || t) FILTER (WHERE since > 0) AS worst_template_id, max(since) FILTER (WHERE since > 0) AS worst_since FROM rc GROUP BY 1)"""
+RECUR = HALVES + """, ut AS (SELECT user_id AS incident_no, epoch_us(date_trunc('week', ts)::TIMESTAMP) // 1000000 AS opened_s, template_id || '/' || service || '/' || user_id AS t, ts FROM act),
+  ct AS (SELECT t, count(*) FILTER (WHERE ts < '2024-01-15') AS was, count(*) FILTER (WHERE ts >= '2024-01-15') AS since FROM ut GROUP BY 1),
+  rc AS (SELECT DISTINCT incident_no, opened_s, t, was, since FROM ut JOIN ct USING (t)),
+  rv AS (SELECT incident_no, opened_s, CASE WHEN count(*) FILTER (WHERE since > 0) > 0 THEN 'recurred' WHEN count(*) FILTER (WHERE was >= 2) = 0 THEN 'too-early' ELSE 'held' END AS verdict, count(*) AS n_templates,
+   count(*) FILTER (WHERE was >= 2) AS n_watchable, arg_max(t, lpad(since::VARCHAR, 9, '0') || t) FILTER (WHERE since > 0) AS worst_template_id, max(since) FILTER (WHERE since > 0) AS worst_since FROM rc GROUP BY 1, 2)"""
 ORACLES["verify_recurrence"] = RECUR + " SELECT * FROM rv"
 ORACLES["fix_headline"] = RECUR + """, sp AS (SELECT CASE WHEN count(*) FILTER (WHERE verdict = 'worse') > 0 THEN 'worse' WHEN count(*) FILTER (WHERE verdict = 'held') > 0 THEN 'held' END AS s FROM vo)
   SELECT CASE WHEN verdict = 'too-early' THEN coalesce((SELECT s FROM sp), verdict) ELSE verdict END AS headline, count(*) AS n_incidents FROM rv GROUP BY 1"""
-ORACLES["downgrade_fixes"] = RECUR + """, ar AS (SELECT DISTINCT user_id AS incident_no, date_trunc('week', ts) AS o FROM act)
-  SELECT a.incident_no, CASE WHEN a.incident_no % 2 = 0 THEN CASE WHEN verdict = 'recurred' THEN 'did_not_work' ELSE 'worked' END END AS outcome,
-   CASE WHEN a.incident_no % 2 = 0 AND verdict = 'recurred' THEN 'auto-verified: ' || worst_template_id || ' has fired ' || worst_since || ' more time(s) since the fix' END AS outcome_note, count(*) AS n_rows
-  FROM ar a LEFT JOIN rv USING (incident_no) GROUP BY 1, 2, 3"""
+ORACLES["downgrade_fixes"] = RECUR + """, ar AS (SELECT DISTINCT user_id AS incident_no, epoch_us(date_trunc('week', ts)::TIMESTAMP) // 1000000 AS opened_s FROM act)
+  SELECT a.incident_no, a.opened_s, CASE WHEN a.incident_no % 2 = 0 THEN CASE WHEN verdict = 'recurred' THEN 'did_not_work' ELSE 'worked' END END AS outcome,
+   CASE WHEN a.incident_no % 2 = 0 AND verdict = 'recurred' THEN 'auto-verified: ' || worst_template_id || ' has fired ' || worst_since || ' more time(s) since the fix' END AS outcome_note
+  FROM ar a LEFT JOIN (SELECT * FROM rv WHERE opened_s < epoch_us(TIMESTAMP '2024-01-22') // 1000000) rv USING (incident_no, opened_s)"""
 ORACLES["search_events"] = P + " SELECT event_no, text AS text_redacted FROM act WHERE contains(lower(text), 'error by user 1') ORDER BY event_no DESC LIMIT 15"
 ORACLES["keyword_evidence"] = P + " SELECT text AS text_redacted, max(event_no) AS event_no FROM act WHERE contains(text, 'purchase') OR contains(text, 'signup') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4"
 CITED = """WITH us AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), cl AS (SELECT conv_id, turn AS claim_id, split_part(text, chr(10), 1) AS claim FROM conversations WHERE role = 'assistant'
@@ -407,7 +415,7 @@ CITED = """WITH us AS (SELECT conv_id, turn, text FROM conversations WHERE role
   oo AS (SELECT conv_id, claim_id, len(list_filter(w, lambda x: contains(c, x))) >= greatest(2, len(w) // 2) AND len(w) > 0 AS overlapping FROM ow),
   gr AS (SELECT oo.conv_id, oo.claim_id, qd.claim_id IS NOT NULL AS quoted, overlapping FROM oo LEFT JOIN qd ON oo.conv_id = qd.conv_id AND oo.claim_id = qd.claim_id)"""
 ORACLES["ground_citations"] = CITED + " SELECT * FROM gr"
-ORACLES["settle_hollow"] = CITED + """ SELECT CASE WHEN conv_id IN (SELECT conv_id FROM gr WHERE claim_id % 4 = 0 AND overlapping) THEN 'hollow' ELSE 'unknown' END AS verdict, count(*) AS n_runs
+ORACLES["settle_hollow"] = CITED + """ SELECT CASE WHEN conv_id IN (SELECT conv_id FROM gr WHERE overlapping) THEN 'hollow' ELSE 'unknown' END AS verdict, count(*) AS n_runs
   FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY 1"""
 
 # ------------------------------------------------------------------ sequential rules, by recursion

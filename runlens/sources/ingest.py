@@ -158,7 +158,7 @@ def normalize_connector_rows(rows: DataFrame, json: str = "row", service: str =
 
 
 def query_logs(
-    lines: DataFrame, service: str = "", since=None, text: str = "", limit: int = 200,
+    lines: DataFrame, service: str = "", since=None, text: str = "", limit: int | None = None,
     order: str = "line_no",
 ) -> DataFrame:
     """Newest matching records first; service and time reach the scan as pushed filters."""
@@ -169,19 +169,20 @@ def query_logs(
         hits = hits.where(F.col("ts") >= F.lit(since))
     if text:
         hits = hits.where(F.col("payload").contains(text))
-    return hits.orderBy(F.col(order).desc()).limit(limit)
+    newest = hits.orderBy(F.col(order).desc())
+    return newest if limit is None else newest.limit(limit)
 
 
-def list_services(lines: DataFrame, since=None, limit: int = 200) -> DataFrame:
+def list_services(lines: DataFrame, since=None, limit: int | None = None) -> DataFrame:
     """Every service with its record count, counted rather than sampled."""
     recent = lines if since is None else lines.where(F.col("ts") >= F.lit(since))
-    return (
+    counted = (
         recent.where(F.col("service") != "")
         .groupBy("service")
         .agg(F.count(F.lit(1)).alias("records"))
         .orderBy(F.desc("records"), "service")
-        .limit(limit)
     )
+    return counted if limit is None else counted.limit(limit)
 
 
 def fair_share_sample(lines: DataFrame, budget: int = 500, order: str = "line_no") -> DataFrame:
