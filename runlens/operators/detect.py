@@ -139,6 +139,18 @@ def _recent_occurrences(hits: DataFrame, events: DataFrame, since: Column) -> Da
     )
 
 
+def _numbered_lines(hits: DataFrame, events: DataFrame, keys: list[str], upto: Column, n: int, cfg: Config) -> DataFrame:
+    """The last ``n`` of the first ``upto`` events of each hit's key: keys, hit_no, no, text_redacted.
+
+    Events are numbered without their texts, and only those of keys that have a hit; numbers and texts are joined by
+    equality, so no second or key has to be searched."""
+    narrow = events.join(hits.select(*keys).distinct(), keys, "left_semi").select(*keys, F.col("event_no").alias("no"))
+    placed = scan.numbered(narrow, keys, "no", "pos", cfg.segment_rows)
+    wanted = hits.select(*keys, F.col("event_no").alias("hit_no"), F.explode(F.sequence(F.greatest(upto - n, F.lit(0)), upto - 1)).alias("pos"))
+    found = placed.join(wanted, [*keys, "pos"])
+    return found.join(events.select("source_id", F.col("event_no").alias("no"), "text_redacted"), ["source_id", "no"])
+
+
 def rate_conditions(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Gate input of D2: per template and second the conditions at its first and last event.
 
@@ -223,7 +235,7 @@ def detect_rate_drop(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         .withColumn("expected", F.lit(60.0) / (F.col("upto") / F.col("active")))
         .withColumn("due", F.ceil(F.col("sec") + due))
         .where(F.col("next").isNull() | (F.col("next.sec") >= F.col("due")))
-        .select(*TRACK, F.col("sec").alias("stopped"), "expected", "due", F.col("next.no").alias("back_no"))
+        .select(*TRACK, F.col("sec").alias("stopped"), "upto", "expected", "due", F.col("next.no").alias("back_no"))
         .withColumn("bucket", F.expr("due div 3600"))
     )
     stream = scan.running(
@@ -241,16 +253,19 @@ def detect_rate_drop(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         .withColumn("observed", (F.col("seen") - F.col("stopped")).cast("double"))
         .select(
             *TRACK, F.col("first_no").alias("event_no"), "observed", F.col("expected").alias("baseline"),
-            (F.col("observed") / F.col("expected")).alias("ratio"), "stopped",
+            (F.col("observed") / F.col("expected")).alias("ratio"), "upto",
         )
     )
-    # up to three occurrences inside the last drop_factor expected gaps (rate >= floor)
-    reach = F.ceil(F.col("baseline") * cfg.drop_factor)
-    seen = _recent_occurrences(
-        hits.withColumn("until", F.col("stopped")), events, F.col("until") - reach
+    # the last three occurrences before the template stopped, by their numbers
+    lines = _numbered_lines(hits, events.where(F.col("sec").isNotNull()), TRACK, F.col("upto"), 3, cfg)
+    seen = lines.groupBy(*TRACK, F.col("hit_no").alias("event_no")).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("no", "text_redacted"))),
+            lambda x: F.array_join(classify.evidence_lines(x["text_redacted"]), "\n"),
+        ).alias("evidence")
     )
     return _signals(
-        hits.drop("stopped").join(seen, [*TRACK, "event_no"], "left"), events, "RateDrop",
+        hits.drop("upto").join(seen, [*TRACK, "event_no"], "left"), events, "RateDrop",
         F.lit("silence_gap_s"), F.lit("P3"), own_template=False,
     )
 
@@ -261,27 +276,29 @@ def detect_silence(
     """The whole source went quiet, seen when it resumes.
 
     Only gaps over the absolute minimum can fire, so the median of the 200 gaps before
-    is looked up for those alone (an equi-join on gap numbers).
+    is looked up for those alone (an equi-join on gap numbers). A clock that jumped back
+    (``day_no`` of ``unroll_clock``) is a restart: it is no gap, and gaps before it say
+    nothing about those after it.
     """
-    cols = ["source_id", "event_no", "sec", "template_id"]
-    timed = events.where(F.col("sec").isNotNull()).select(*cols)
+    day = F.col("day_no") if "day_no" in events.columns else F.lit(0)
+    timed = events.where(F.col("sec").isNotNull()).select("source_id", day.cast("long").alias("day_no"), "event_no", "sec", "template_id")
     gaps = scan.running(
-        scan.durable(timed), ["source_id"], "event_no", {"before": scan.lag(F.col("sec"))}, cfg.segment_rows
+        scan.durable(timed), ["source_id", "day_no"], "event_no", {"before": scan.lag(F.col("sec"))}, cfg.segment_rows
     ).withColumn("gap", (F.col("sec") - F.col("before")).cast("double"))
     if muted is not None:
         gaps = apply_suppressions(gaps, muted)
     placed = scan.durable(scan.numbered(
-        gaps.where(F.col("gap") >= 0).select("source_id", "event_no", "sec", "gap"),
-        ["source_id"], "event_no", "pos", cfg.segment_rows,
+        gaps.where(F.col("gap") >= 0).select("source_id", "day_no", "event_no", "sec", "gap"),
+        ["source_id", "day_no"], "event_no", "pos", cfg.segment_rows,
     ))
     long = placed.where((F.col("gap") >= cfg.silence_min_s) & (F.col("pos") >= cfg.silence_min_gaps))
     prior = long.select(
-        "source_id", F.col("event_no").alias("hit_no"),
+        "source_id", "day_no", F.col("event_no").alias("hit_no"),
         F.explode(F.sequence(F.greatest(F.col("pos") - cfg.silence_gaps, F.lit(0)), F.col("pos") - 1)).alias("pos"),
     )
     medians = (
-        placed.select("source_id", "pos", "gap")
-        .join(prior, ["source_id", "pos"])
+        placed.select("source_id", "day_no", "pos", "gap")
+        .join(prior, ["source_id", "day_no", "pos"])
         .groupBy("source_id", F.col("hit_no").alias("event_no"))
         .agg(F.percentile("gap", 0.5).alias("usual"))
     )
@@ -367,7 +384,7 @@ def error_conditions(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return (
         so_far.join(opened, ["source_id", "sec"])
         .where(history >= cfg.error_min_history)
-        .select("source_id", "event_no", "sec", in_window.alias("in_window"), share.alias("observed"), base.alias("usual"))
+        .select("source_id", "event_no", "sec", "errors", in_window.alias("in_window"), share.alias("observed"), base.alias("usual"))
         .withColumns({
             "above": (F.col("in_window") >= cfg.error_min_window)
             & (F.col("observed") >= F.greatest(F.lit(cfg.error_floor), F.col("usual") * cfg.error_ratio)),
@@ -388,7 +405,7 @@ def detect_error_ratio(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         {"was": scan.lag(state)}, cfg.segment_rows,
     )
     # inside one second and one condition nothing can change after the first event
-    changing = marked.where(F.col("was").isNull() | ~F.col("was").eqNullSafe(state)).drop("was")
+    changing = marked.where(F.col("was").isNull() | ~F.col("was").eqNullSafe(state)).drop("was", "errors")
     gated = scan.chained_fold(
         changing, ["source_id"], "event_no", gates.gate_step(cfg.sustain_s, cfg.clear_sustain_s),
         "event_no long, sec long, observed double, usual double, change string", cfg.fold_rows, dense=True,
@@ -397,19 +414,11 @@ def detect_error_ratio(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         "source_id", "event_no", "sec", "observed", F.col("usual").alias("baseline"),
         (F.col("observed") / F.greatest("usual", F.lit(0.001))).alias("ratio"),
     )
-    # a firing window holds at least error_min_window * error_floor errors
-    seconds = fired.select(
-        "source_id", F.col("event_no").alias("hit_no"),
-        F.explode(F.sequence(F.col("sec") - cfg.window_s, F.col("sec"))).alias("sec"),
-    )
+    # the last twelve evidence lines come from the last twelve error-like events, wherever they are
     pattern = F.col("template_pattern") if "template_pattern" in events.columns else F.lit(None).cast("string")
-    lines = (
-        events.where(classify.error_like(F.col("level"), pattern))
-        .select("source_id", "sec", F.col("event_no").alias("no"), "text_redacted")
-        .join(seconds, ["source_id", "sec"])
-        .where(F.col("no") <= F.col("hit_no"))
-    )
-    last12 = templates.keep_last_n(lines, ["source_id", "hit_no"], "no", 12)
+    wrong = events.where(F.col("sec").isNotNull() & classify.error_like(F.col("level"), pattern))
+    counted = fired.join(rows.select("source_id", "event_no", "errors"), ["source_id", "event_no"])
+    last12 = _numbered_lines(counted, wrong, ["source_id"], F.col("errors"), 12, cfg)
     evidence = last12.groupBy("source_id", F.col("hit_no").alias("event_no")).agg(
         F.flatten(F.transform(
             F.array_sort(F.collect_list(F.struct("no", "text_redacted"))),

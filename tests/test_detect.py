@@ -87,6 +87,19 @@ def test_silence(stream, cfg):
     assert found(detect.detect_silence(df, cfg)) == sorted(want)
 
 
+def test_a_clock_that_jumps_back_is_no_silence(spark):
+    from runlens.operators import lines
+
+    seconds = [68_400 + i for i in range(120)] + [64_800 + i for i in range(60)] + [65_400 + i for i in range(5)]
+    df = spark.createDataFrame(
+        [("s", i, s, "INFO", "tick", "", "tick") for i, s in enumerate(seconds)],
+        "source_id string, event_no long, clock_s long, level string, template_id string, trace_id string, text_redacted string",
+    )
+    unrolled = lines.unroll_clock(df, "clock_s").withColumn("ts", F.timestamp_seconds("sec")).withColumn("service", F.lit(""))
+    got = detect.detect_silence(unrolled).collect()
+    assert [(r.event_no, r.observed) for r in got] == [(180, 541.0)]
+
+
 @pytest.mark.parametrize("cfg", [Config(), SMALL], ids=["whole", "segmented"])
 def test_error_ratio(stream, cfg):
     df, rows = stream
@@ -108,7 +121,10 @@ def test_error_ratio(stream, cfg):
             if gate["on"]:
                 want.append((no, kind, round(share, 6), round(base, 6)))
     assert want
-    assert found(detect.detect_error_ratio(df, cfg)) == sorted(want)
+    got = detect.detect_error_ratio(df, cfg)
+    assert found(got) == sorted(want)
+    for r in got.collect():
+        assert r.evidence == [x[6] for x in rows if x[3] == "ERROR" and x[1] <= r.event_no][-12:]
 
 
 @pytest.mark.parametrize("cfg", [Config(), SMALL], ids=["whole", "segmented"])
@@ -129,7 +145,11 @@ def test_rate_drop(stream, cfg):
                 tr["dropped"] = True
                 want.append((no, other, float(now - tr["last"]), round(expected, 6)))
     assert want
-    assert found(detect.detect_rate_drop(df, cfg)) == sorted(want)
+    got = detect.detect_rate_drop(df, cfg)
+    assert found(got) == sorted(want)
+    for r in got.collect():
+        other = next(w[1] for w in want if w[0] == r.event_no and round(r.baseline, 6) == w[3])
+        assert r.evidence == [x[6] for x in rows if x[4] == other and x[1] < r.event_no][-3:]
 
 
 @pytest.mark.parametrize("cfg", [Config(), SMALL], ids=["whole", "segmented"])
