@@ -18,7 +18,7 @@ from ..operators import (
     tracker, traces, verify,
 )
 from ..sources import ingest, tables
-from . import scan
+from . import chain, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -458,7 +458,8 @@ def link_traces(spark, d):  # R7
 @query
 def coverage(spark, d):  # R7, A15
     e = tables.activity_lines(spark, d).select(
-        "source_id", F.col("line_no").alias("event_no"), F.col("payload").alias("text_redacted"), F.lit(None).cast("double").alias("sec")
+        "source_id", F.col("line_no").alias("event_no"), F.col("payload").alias("text_redacted"),
+        F.unix_seconds(parse.parse_timestamp(F.col("payload"))).cast("double").alias("sec"),
     )
     return traces.coverage(traces.link_traces(e))
 
@@ -609,12 +610,37 @@ def verdict_counts(spark, d):  # A14
     return reports.verdict_counts(_verdicts(spark, d)).drop("source_id")
 
 
+def _chain_input(spark, d):
+    """Raw lines, what their runs are for, and thresholds; kinds of lines differ in few words, so templates must agree in more."""
+    raw = tables.activity_lines(spark, d).where("payload <> ''")
+    return raw, F.col("template_pattern").contains("payment completed"), replace(HOURS, similarity=0.8)
+
+
+def _chain(spark, d):
+    return chain.lines_to_incidents(*_chain_input(spark, d))
+
+
 @query
 def funnel(spark, d):  # A15
-    ev = _events(spark, d)
-    found = scan.durable(detect.detect_all(ev, HOURS, samples=_samples(spark, d), costs=_costs(spark, d)))
-    members = incidents.group_incidents(found, HOURS)
-    return reports.funnel(tables.activity_lines(spark, d), ev, found, incidents.incident_lifecycle(members, ev, HOURS))
+    c = _chain(spark, d)
+    return reports.funnel(tables.activity_lines(spark, d), c.events, c.signals, c.lifecycle)
+
+
+@query
+def pipeline_incidents(spark, d):  # I1-I4 at the end of the whole chain
+    c = _chain(spark, d)
+    view = incidents.incident_view(c.members, c.lifecycle, HOURS)
+    return view.select(
+        "source_id", "incident_no", "status", "severity", "n_signals", _list(F.col("detectors")).alias("detectors"),
+        "n_traces", "n_deviations", "cause_detector", "cause_why",
+    )
+
+
+@query
+def pipeline_verdicts(spark, d):  # C3 at the end of the chain
+    _, verdicts = chain.lines_to_verdicts(*_chain_input(spark, d))
+    ended = F.when(F.col("verdict") == "degraded", "achieved").otherwise(F.col("verdict"))
+    return verdicts.groupBy("source_id", ended.alias("verdict")).agg(F.count(F.lit(1)).alias("n_runs"), F.sum("n_events").alias("n_events"))
 
 
 def _report(spark, d):
@@ -861,7 +887,8 @@ def run_view(spark, d):  # C6
 
 def _members(spark, d):
     ev = _events(spark, d)
-    found = scan.durable(detect.detect_all(ev, HOURS, samples=_samples(spark, d), costs=_costs(spark, d)))
+    broken = flow.conformance_signals(flow.complete_runs(_verdicts(spark, d), ev, HOURS))
+    found = scan.durable(detect.detect_all(ev, HOURS, samples=_samples(spark, d), costs=_costs(spark, d), conformance=broken))
     return scan.durable(incidents.group_incidents(found, HOURS)), ev
 
 

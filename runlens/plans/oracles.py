@@ -281,6 +281,8 @@ ORACLES["verdict_reasons"] = JUDGED_LINES + """ SELECT trace_id, service, last_e
    WHEN 'degraded' THEN 'achieved its purpose in ' || took || ' against a p95 of ' || usual ELSE 'purpose steps ran, no errors, usual duration' END AS reason,
   concat_ws('|', CASE WHEN NOT purpose THEN 'purpose_never_ran;P2;one of the purpose steps (' || (SELECT left(arg_min(text, event_no), 36) FROM act WHERE template_id = 'purchase') || '...);no purpose step ran; no error raised' END,
    CASE WHEN slow THEN 'slow_flow;P3;<= ' || usual || ' (p95);' || took END) AS deviations FROM w"""
+ORACLES["pipeline_verdicts"] = JUDGED + """ SELECT 'activity' AS source_id, CASE verdict WHEN 'degraded' THEN 'achieved' ELSE verdict END AS verdict, count(*) AS n_runs, sum(n_events)::BIGINT AS n_events
+  FROM v WHERE n_events >= 2 AND (SELECT max(ts) FROM act) - ended_at >= INTERVAL 20 SECOND GROUP BY 2"""
 ORACLES["missing_steps"] = FLOW + """, s AS (SELECT template_id, count(*) / (SELECT traces_mined FROM mined) AS presence FROM firsts GROUP BY 1)
   SELECT t.trace_id, s.template_id AS step_id, presence FROM (SELECT DISTINCT trace_id FROM act) t, s WHERE presence >= 0.48 AND s.template_id <> 'purchase'
    AND NOT EXISTS (SELECT 1 FROM act a WHERE a.trace_id = t.trace_id AND a.template_id = s.template_id)"""
