@@ -3,10 +3,9 @@
 A fingerprint is eight bytes. Two fingerprints that differ in at most ``max_bits`` bits differ in at most that many
 bytes, so they agree on at least ``8 - max_bits`` byte positions: the guaranteed number of matches. The inverted index
 holds positional bytes; since a single (position, byte) list would hold a 256th of all rows, lists are kept for every
-choice of ``8 - max_bits`` positions at once (28 choices for two bits, 48 bits of key). A pair meets in one list
-if it agrees on just the guaranteed number of positions and in more if it agrees on more, so the number of lists it
-shares is the tally of shared positional bytes; pairs below the guaranteed number never meet. What is left is
-verified by the number of differing bits.
+choice of ``8 - max_bits`` positions at once (28 choices for two bits, 48 bits of key). Pairs below the guaranteed
+number never meet in a list. Of a pair that meets, the shared positional bytes are tallied, which also tells the one list
+that may give it, and the number of differing bits is verified.
 
 The index holds distinct fingerprints only, so copies cost nothing, and one list holds at most 2^(8*max_bits)
 fingerprints (those that differ in the free positions). Pairs leave the join only if they are true links: at most
@@ -22,7 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -91,17 +89,21 @@ def _mask(free: tuple[int, ...]) -> int:
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``a`` < ``b``, ``shared`` (positional bytes) of all pairs of distinct fingerprints that differ in at most ``max_bits`` bits."""
-    choices = list(combinations(range(8), max_bits))
-    lists = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("positions"), F.col("fp").bitwiseAND(F.lit(_mask(free))).alias("bytes")) for i, free in enumerate(choices)])
+    """``a`` < ``b``, ``shared`` (positional bytes) of all pairs of distinct fingerprints that differ in at most
+    ``max_bits`` bits (1 to 7). A pair that meets in several lists is taken from the one of its first shared positions."""
+    need = 8 - max_bits
+    kept = list(combinations(range(8), need))
+    free = [tuple(i for i in range(8) if i not in k) for k in kept]
+    lists = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("positions"), F.col("fp").bitwiseAND(F.lit(_mask(f))).alias("bytes")) for i, f in enumerate(free)])
     index = fps.select("fp").distinct().select("fp", F.inline(lists))
     a, b = index.withColumnRenamed("fp", "a"), index.withColumnRenamed("fp", "b")
     differ = F.col("a").bitwiseXOR(F.col("b"))
-    met = a.join(b, ["positions", "bytes"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits))
-    # a pair that shares m positions meets in C(m, 8 - max_bits) lists
-    tally = met.groupBy("a", "b").agg(F.count("*").alias("lists"))
-    shared = F.create_map(*[F.lit(x) for m in range(8 - max_bits, 8) for x in (comb(m, 8 - max_bits), m)])
-    return tally.select("a", "b", F.element_at(shared, F.col("lists").cast("int")).alias("shared")).where(F.col("shared") >= 8 - max_bits)
+    agree = sum((F.when(F.shiftright(differ, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1 << i).otherwise(0) for i in range(8)), F.lit(0))
+    first = [tuple(i for i in range(8) if m >> i & 1)[:need] for m in range(256)]
+    own_list = F.array(*[F.lit(kept.index(f) if len(f) == need else -1).cast("tinyint") for f in first])
+    met = a.join(b, ["positions", "bytes"]).where(
+        (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & (F.get(own_list, agree) == F.col("positions")))
+    return met.select("a", "b", F.bit_count(agree).alias("shared"))
 
 
 def classes(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:

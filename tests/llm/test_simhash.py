@@ -53,7 +53,12 @@ def test_links_and_components(spark):
     rows = list(enumerate(signed)) + [(1000 + i, f) for i, f in enumerate(signed[:20])]
     df = spark.createDataFrame(rows, "doc_id long, fp long")
     close = {(min(a, b), max(a, b)): 8 - sum(bool((a ^ b) >> 8 * i & 255) for i in range(8)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2}
-    assert {(r["a"], r["b"]): r["shared"] for r in simhash.links(df).collect()} == close
+    got = simhash.links(df).collect()
+    assert {(r["a"], r["b"]): r["shared"] for r in got} == close and len(got) == len(close)
+    for bits in (1, 4):
+        pairs = {(min(a, b), max(a, b)) for i, a in enumerate(signed) for b in signed[:i] if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= bits}
+        wider = simhash.links(df, bits).collect()
+        assert {(r["a"], r["b"]) for r in wider} == pairs and len(wider) == len(pairs)
     names = {f: min(d for d, g in rows if g == f) for f in signed}
     want = grouped(names.values(), [(names[a], names[b]) for a, b in close])
     assert {r["fp"]: r["component_id"] for r in simhash.classes(df).collect()} == {f: want[names[f]] for f in signed}
