@@ -195,4 +195,4 @@ def contamination(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> Da
 
 
 def op8_edit_match(spark: SparkSession, folder: str) -> DataFrame:
-    return contamination(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+    return find_items(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
