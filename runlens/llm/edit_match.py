@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from .common import load, spare
 
-EDITS = 0.06
-MOST_EDITS = 24
+EDITS = 0.08
+MOST_EDITS = 32
 LEAST_CHARS = 40
 #: characters of normalised items in a block
 BLOCK_CHARS = 4 << 20
