@@ -61,3 +61,25 @@ def spare(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+class Remembered:
+    """What is known of words, in two generations of at most ``size`` words (and those of one call): when the younger one is
+    full the older one goes, so frequent words stay."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """The words to find out; all others are then in ``young``."""
+        if len(self.young) + len(words) > self.size:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for w in words:
+            if w not in young:
+                found = old.get(w)
+                if found is None:
+                    new.append(w)
+                else:
+                    young[w] = found
+        return new

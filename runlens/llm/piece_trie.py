@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, per_worker
+from .common import Remembered, load, per_worker
 
 MARK = "▁"
-REMEMBER = 300_000
-SLICE_CHARS = 1 << 22
+REMEMBER = 250_000
+REMEMBER_PAIRS = 500_000
+SLICE_CHARS = 1 << 21
 #: what a character outside the vocabulary costs below the worst piece (unigram)
 UNKNOWN_COST = 10.0
 
@@ -49,15 +50,15 @@ class PieceTrie:
         self.scores = {p[0]: p[1] for p in pieces if p}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a mark behind another character")
-        self.byte_ids, self.unknown, self.kind, self.remember = byte_ids, unknown, kind, remember
+        self.byte_ids, self.unknown, self.kind = byte_ids, unknown, kind
         self.lengths = sorted({len(p) for p in self.ids} | {1}, reverse=True)
         tails: dict[str, set[int]] = {}
         for p in self.ids:
             if len(p) > 1:
                 tails.setdefault(p[-2:], set()).add(len(p))
         self.tails = {t: sorted(found, reverse=True) for t, found in tails.items()}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}  # by the codes of both pieces in one number
+        self.known = Remembered(remember)
         self.bytes_of: list[bytes] = [p[0].encode("utf-8") if p else b"" for p in pieces]
         for b, i in enumerate(byte_ids or ()):
             self.bytes_of[i] = bytes([b])
@@ -83,33 +84,38 @@ class PieceTrie:
                 ranks[i] = get(s[i] + s[i + 1], none)
         return s
 
-    def _follows(self, before: str, piece: str) -> bool:
-        key = (before, piece)
-        ok = self.pairs.get(key)
-        if ok is None:
-            ok = self._merged(before + piece) == ([before, piece] if before else [piece])
-            if len(self.pairs) > 4 * self.remember:
-                self.pairs = {}
-            self.pairs[key] = ok
+    def _code(self, piece: str) -> int:
+        """Below 2^22: the id of a piece, else a character outside the vocabulary; 2^21 - 1 is the start of a word."""
+        found = self.ids.get(piece)
+        return found if found is not None else 1 << 21 | ord(piece) if piece else (1 << 21) - 1
+
+    def _follows(self, before: str, piece: str, key: int) -> bool:
+        ok = self._merged(before + piece) == ([before, piece] if before else [piece])
+        if len(self.pairs) >= REMEMBER_PAIRS:
+            self.pairs.clear()
+        self.pairs[key] = ok
         return ok
 
-    def _extend_bpe(self, word: str, last: list[str], start: int) -> None:
-        """Append the last pieces of the prefixes of over ``start`` characters."""
+    def _extend_bpe(self, word: str, last: list[str], codes: list[int], start: int) -> None:
+        """Append the last pieces, and their codes, of the prefixes of over ``start`` characters."""
         pairs, ids, tails, none = self.pairs, self.ids, self.tails, ()
         for end in range(start + 1, len(word) + 1):
             for n in tails.get(word[end - 2:end], none) if end > 1 else none:  # longest first
                 if n > end:
                     continue
                 piece = word[end - n:end]
-                if piece not in ids:
+                code = ids.get(piece)
+                if code is None:
                     continue
-                before = last[end - n]
-                ok = pairs.get((before, piece))
-                if self._follows(before, piece) if ok is None else ok:
+                key = codes[end - n] << 22 | code
+                ok = pairs.get(key)
+                if self._follows(last[end - n], piece, key) if ok is None else ok:
                     last.append(piece)
+                    codes.append(code)
                     break
-            else:
-                last.append(word[end - 1])  # no longer piece may end here, so the character stands alone
+            else:  # no longer piece may end here, so the character stands alone
+                last.append(word[end - 1])
+                codes.append(self._code(word[end - 1]))
 
     def _extend_unigram(self, word: str, last: list[str], best: list[float], end: int) -> None:
         top, choice = -float("inf"), ""
@@ -130,15 +136,15 @@ class PieceTrie:
 
     def encode_words(self, words: Sequence[str]) -> Iterator[tuple[str, list[int]]]:
         """``(word, ids)`` of distinct words, in sorted order."""
-        previous, last, best = "", [""], [0.0]
+        previous, last, best, codes = "", [""], [0.0], [self._code("")]
         bpe = self.kind == "bpe"
         for word in sorted(words):
             same, most = 0, min(len(word), len(previous))
             while same < most and word[same] == previous[same]:
                 same += 1
-            del last[same + 1:], best[same + 1:]
+            del last[same + 1:], best[same + 1:], codes[same + 1:]
             if bpe:
-                self._extend_bpe(word, last, same)
+                self._extend_bpe(word, last, codes, same)
             else:
                 for end in range(same + 1, len(word) + 1):
                     self._extend_unigram(word, last, best, end)
@@ -151,26 +157,29 @@ class PieceTrie:
 
     # ------------------------------------------------------------------ texts
 
-    def encode(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of every text."""
+        return (ids for _, ids in self.with_texts(texts))
+
+    def with_texts(self, texts: Iterable[str]) -> Iterator[tuple[str, np.ndarray]]:
+        """Every text and its ids; texts are taken in slices of a bounded number of characters."""
         for part in _slices(texts):
             split = [_marked(t) for t in part]
             words = set().union(*split)
-            if len(self.known) + len(words) > self.remember:
-                self.known = {}
-            new = [MARK + w for w in words if w not in self.known]
-            for word, ids in self.encode_words(new):
-                self.known[word[1:]] = np.array(ids, "<i4").tobytes()
-            get = self.known.__getitem__
-            for s in split:
-                yield np.frombuffer(b"".join(map(get, s)), "<i4")
+            new = self.known.unknown(words)
+            known = self.known.young
+            for word, ids in self.encode_words([MARK + w for w in new]):
+                known[word[1:]] = np.array(ids, "<i4").tobytes()
+            get = known.__getitem__
+            for text, s in zip(part, split, strict=True):
+                yield text, np.frombuffer(b"".join(map(get, s)), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
-def _slices(texts: Sequence[str]) -> Iterator[list[str]]:
+def _slices(texts: Iterable[str]) -> Iterator[list[str]]:
     part, chars = [], 0
     for t in texts:
         part.append(t)
@@ -219,10 +228,10 @@ def encode(docs: DataFrame, path: str, kind: str = "bpe") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = per_worker(f"trie:{kind}:{path}", lambda: load_model(path, kind))
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column("text")]
             rows: list[tuple] = []
             ids_held = 0
-            for doc_id, text, ids in zip(batch.column("doc_id").to_pylist(), texts, trie.encode(texts), strict=True):
+            encoded = trie.with_texts(t.as_py() or "" for t in batch.column("text"))
+            for doc_id, (text, ids) in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 back = trie.decode(ids)
                 rows.append((doc_id, ids, len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text))
                 ids_held += len(ids)

@@ -37,7 +37,7 @@ test_library.tools = (piece_trie.load_model(PATH), sentencepiece.SentencePiecePr
 
 def test_forgetting_changes_nothing(trie, model, prose):
     small = piece_trie.load_model(PATH)
-    small.remember = 3
+    small.known.size = 3
     texts = [prose(i, 40) for i in range(20)]
     assert [x.tolist() for x in small.encode(texts)] == model.encode(texts)
 
