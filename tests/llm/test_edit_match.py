@@ -59,3 +59,29 @@ def test_tables(spark, docs_of, edges, prose, monkeypatch):
     none = bench.limit(0)
     assert em.find_items(docs, none).collect() == [] and em.keep_clean(docs, none).count() == len(rows) and em.contamination(docs, none).count() == len(rows)
     assert em.contamination(docs_of([]), bench).collect() == []
+
+
+def test_short_items_are_found_unchanged_and_whole(spark, docs_of):
+    bench = spark.createDataFrame([(1, "Capital of  France?"), (2, " \n"), (3, "art")], "item_id long, text string")
+    docs = docs_of([(1, "the capital of\nfrance? paris"), (2, "the capitals of france?"), (3, "a party start"), (4, "state of the art."), (5, "capital of francs?")])
+    assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in em.find_items(docs, bench).collect()) == [(1, 1, 0), (4, 3, 0)]
+    assert sorted(r["doc_id"] for r in em.keep_clean(docs, bench).collect()) == [2, 3, 5]
+
+
+def test_budget_grows_with_the_item(prose):
+    rng = random.Random(8)
+    for words in (60, 200, 500):
+        item = em.normalise(prose(words, words))
+        text = f"{prose(1, 40)} {edited(item, int(len(item) * 0.08), rng)} {prose(2, 40)}"
+        (found,) = em.Matcher([(7, item)])(text)
+        assert found == (7, brute(item, em.normalise(text)))
+    assert em.budget(3000) == 360
+
+
+@pytest.mark.parametrize("length", [85, 120, 300])
+def test_one_replaced_word_is_found(prose, length):
+    for seed in range(20):
+        words = em.normalise(prose(seed, 100))[:length].rsplit(" ", 1)[0].split()
+        words[seed % len(words)] = "zzzzzzzz"
+        item = em.normalise(prose(seed, 100))[:length].rsplit(" ", 1)[0]
+        assert em.Matcher([(seed, item)])(f"before that {' '.join(words)} and after")
