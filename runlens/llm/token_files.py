@@ -14,6 +14,9 @@ Texts are encoded by the library word by word: a space in front of a non-space a
 vocabulary's pattern, so the ids of a text are the ids of its space-led pieces in a row. Distinct pieces are encoded
 together and remembered per worker (a bounded number), which does a text of known words by look-ups.
 
+The strings of special tokens in a text are ordinary text, or with ``specials`` (as in the query) what the library makes of them by
+default; a text that holds one is then encoded whole by the library.
+
 Edge cases: null and empty texts have the end id only. A document longer than a block goes on in the next ones. Rows
 with a null doc_id come first. Repeated rows are each written. An empty table gives a file without rows. Columns
 other than ``doc_id`` and ``text`` are not stored.
@@ -53,11 +56,13 @@ _PIECE = re.compile(r" (?=\S)")
 class PieceEncoder:
     """Ids of texts as little-endian 32-bit integers, equal to those of the library for the whole text."""
 
-    def __init__(self, path: str, remember: int = REMEMBER) -> None:
+    def __init__(self, path: str, remember: int = REMEMBER, specials: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not specials  # if set, their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added))) if specials and added else None
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # tokens that begin with a space
@@ -78,6 +83,10 @@ class PieceEncoder:
 
     def __call__(self, texts: Sequence[str]) -> Iterator[bytes]:
         for part in _slices(texts):
+            whole = [i for i, t in enumerate(part) if self.special.search(t)] if self.special else []
+            by_library = {i: self._ids(part[i]).tobytes() for i in whole}
+            for i in whole:
+                part[i] = ""
             split = [_PIECE.split(t) if _SPACE_RUN.search(t) else t.split(" ") for t in part]
             led = set().union(*[s[1:] for s in split])
             if len(self.known) + len(led) > self.remember:
@@ -89,8 +98,8 @@ class PieceEncoder:
             for i in range(0, len(new), 50_000):
                 self._learn(new[i:i + 50_000])
             get = self.known.__getitem__
-            for s in split:
-                yield (self._ids(s[0]).tobytes() if s[0] else b"") + b"".join(map(get, s[1:]))
+            for i, s in enumerate(split):
+                yield by_library[i] if i in by_library else (self._ids(s[0]).tobytes() if s[0] else b"") + b"".join(map(get, s[1:]))
 
 
 def _slices(texts: Sequence[str]) -> Iterator[list[str]]:
@@ -128,7 +137,7 @@ def unpack(planes: Sequence[bytes], n: int) -> np.ndarray:
     return ids.astype("<u4")
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, bits: bool = False) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS, bits: bool = False, specials: bool = False) -> None:
     """Encode ``doc_id, text`` and write the file at ``path`` (a folder of one part per shard)."""
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([
@@ -138,7 +147,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encode = per_worker(f"pieces:{tokenizer}", lambda: PieceEncoder(tokenizer))
+        encode = per_worker(f"pieces:{tokenizer}:{specials}", lambda: PieceEncoder(tokenizer, specials=specials))
         waiting, held, places, block, doc = [], 0, [], 0, 0  # bytes of the open block, their ids, its documents
 
         def closed() -> pa.RecordBatch:
@@ -260,5 +269,5 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
 def op1_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = new_table(spark, "token-ids")
-    write_ids(load(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_ids(load(spark, folder, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), specials=True)
     return digests(spark, path)

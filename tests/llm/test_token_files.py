@@ -60,3 +60,16 @@ def test_empty_table(spark, docs_of):
     path = new_table(spark, "t")
     token_files.write_ids(docs_of([]), path, PATH)
     assert token_files.digests(spark, path).collect() == []
+
+
+def test_query_takes_special_strings_as_the_library_does(spark, docs_of, edges, tmp_path):
+    rows = [r for r in edges if r[0] is not None] + [(10, "a <|endoftext|> b"), (11, "<|endoftext|><|endoftext|>"), (12, "a <|endoftext| b"), (13, "after  it")]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    plain = Tokenizer.from_file(PATH)
+    want, start = [], 0
+    for doc_id, text in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert 50256 in plain.encode(rows[-4][1], add_special_tokens=False).ids
+    assert sorted((tuple(r) for r in token_files.op1_token_files(spark, str(tmp_path)).collect()), key=lambda r: r[1]) == want
