@@ -154,6 +154,9 @@ def nearest(rows: DataFrame, k: int = NEIGHBOURS, bound: float = BOUND) -> DataF
             rows_at, queries_at = rows_at[other], queries_at[other]
             for i in range(0, len(rows_at), SLICE):
                 r, c = rows_at[i:i + SLICE], queries_at[i:i + SLICE]
+                # the same sum in the fastest order of addition tells which cannot matter
+                may = np.einsum("ij,ij->i", x[r], q[c]) >= length[c] * (worst[c] - 1e-9 * lengths[r])
+                r, c = r[may], c[may]
                 who, score, ids = np.r_[who, c], np.r_[score, exact(x[r], q[c])], np.r_[ids, b_ids[r]]
                 keep = best(who, score, ids, k)
                 who, score, ids = who[keep], score[keep], ids[keep]
