@@ -126,7 +126,8 @@ def stored(rows: DataFrame, parts: int, width: int) -> DataFrame:
             yield from group()
 
     arrow = pa.schema([("is_batch", pa.bool_()), ("grp", pa.int64()), ("num", pa.int64()), *[(c, pa.binary()) for c in ("ids", "codes", "scalars", "lengths", "vectors")]])
-    return written(rows.repartition(parts, "vec_id").select("vec_id", "is_query", "embedding").mapInArrow(run, STORED), "codes")
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")  # ids are distinct, so groups are even
+    return written(rows.repartitionById(parts, place).select("vec_id", "is_query", "embedding").mapInArrow(run, STORED), "codes")
 
 
 def nearest(rows: DataFrame, k: int = NEIGHBOURS, bound: float = BOUND) -> DataFrame:
