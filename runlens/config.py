@@ -69,6 +69,7 @@ class Config:
     slow_factor: float = 1.5
     quiet_s: float = 20.0
     min_judged_events: int = 2
+    judged_kept_s: float = 86_400.0
     rank_margin: float = 0.08
 
     # incidents
@@ -76,6 +77,7 @@ class Config:
     temporal_s: float = 90.0
     coincident_s: float = 1.0
     resolve_quiet_s: float = 300.0
+    forget_s: float | None = None
     evidence_limit: int = 20
 
     # memory and verification

@@ -59,7 +59,8 @@ def computed_once(df: DataFrame) -> DataFrame:
     projection and evaluates them twice, chained ones many times over. The row id is not
     deterministic, so nothing is moved below it. Filters on plain columns belong in front.
     """
-    return df.withColumn("__row", F.monotonically_increasing_id()).where("__row >= 0").drop("__row")
+    row = F.rand(0) if df.isStreaming else F.monotonically_increasing_id()  # streams have no row ids
+    return df.withColumn("__row", row).where("__row >= 0").drop("__row")
 
 
 # --------------------------------------------------------------------------- running

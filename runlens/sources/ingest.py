@@ -53,16 +53,24 @@ def read_log_lines(spark: SparkSession, path: str, service: str = "") -> DataFra
     )
 
 
-def stream_log_lines(spark: SparkSession, folder: str, service: str = "") -> DataFrame:
-    """S1 as a stream over a folder of closed log segments."""
-    name = F.lit(service) if service else F.regexp_extract("source_id", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    return (
-        spark.readStream.text(folder)
-        .select(F.col("_metadata.file_path").alias("source_id"), F.col("value").alias("payload"),
-                F.col("_metadata.file_modification_time").alias("collected_at"))
-        .where(F.trim("payload") != "")
-        .withColumn("service", name)
+def stream_log_lines(spark: SparkSession, folder: str, service: str = "", files_per_batch: int | None = None) -> DataFrame:
+    """S1 as a stream over a folder of closed log segments, with the order key the folding needs.
+
+    ``shop-000012.log`` is segment 12 of the source ``shop``; a file without a number is segment 0. A segment is read as one
+    row and split into its lines, because a stream can number lines in no other way: close segments at some 64 MB.
+    ``line_no`` holds the segment and the place in it (2^32 lines each). Segments of a source must be closed in their order."""
+    reader = spark.readStream
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    name = r"^(.*?)(?:[._-]([0-9]+))?(?:\.[A-Za-z]+)?$"
+    file = F.col("_metadata.file_name")
+    files = reader.text(folder, wholetext=True).select(
+        F.regexp_extract(file, name, 1).alias("source_id"), F.coalesce(F.regexp_extract(file, name, 2).try_cast("long"), F.lit(0)).alias("segment"),
+        F.col("_metadata.file_modification_time").alias("collected_at"), F.posexplode(F.split("value", "\r?\n")).alias("place", "payload"),
     )
+    return files.where(F.trim("payload") != "").select(
+        "source_id", (F.col("segment") * (1 << 32) + F.col("place")).alias("line_no"), "payload",
+        (F.lit(service) if service else F.col("source_id")).alias("service"), "collected_at")
 
 
 def combine_sources(project: str, *parts: DataFrame) -> DataFrame:

@@ -10,17 +10,21 @@ stateful operators need the RocksDB state store provider (see ``stateful_conf``)
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..config import DEFAULT, Config
-from ..functions import classify, measure, parse
-from ..operators import gates, incidents, lines, traces
+from ..functions import keys, parse
+from ..operators import incidents, lines, traces
+from . import signals
+from .assign import stream_templates
+from .signals import detection_tracks, track_step  # noqa: F401  (part of this module's interface)
 
 Rows = dict[str, list]
 
@@ -82,10 +86,10 @@ class StepProcessor(StatefulProcessor):
 
 
 def run_step(
-    df: DataFrame, keys: list[str], order: str, step, out_schema: str, on_idle=None, flush_after_s: float = 0.0
+    df: DataFrame, keys: list[str], order: str, step, out_schema: str | T.StructType, on_idle=None, flush_after_s: float = 0.0
 ) -> DataFrame:
     """A step function as a stateful streaming operator, output appended per micro-batch."""
-    fields = T.StructType.fromDDL(out_schema)
+    fields = T.StructType.fromDDL(out_schema) if isinstance(out_schema, str) else out_schema
     schema = T.StructType([*[df.schema[k] for k in keys], *fields.fields])
     processor = StepProcessor(step, order, keys, fields.names, on_idle, flush_after_s)
     return df.groupBy(*keys).transformWithStateInPandas(
@@ -99,11 +103,11 @@ def run_step(
 
 def folding_step(cfg: Config = DEFAULT):
     """Holds the open event of a source until a line shows that it is complete."""
-    head = ("event_no", "level", "ts_text", "head")
+    head = ("event_no", "level", "ts_text", "head", "service", "sec")
 
     def release(held: dict, out: Rows) -> None:
         for c in head:
-            out[c].append(held[c])
+            out[c].append(held.get(c))
         out["text"].append("\n".join([held["head"], *held["more"]]))
         out["folded_lines"].append(len(held["more"]))
 
@@ -111,29 +115,35 @@ def folding_step(cfg: Config = DEFAULT):
         return {c: [] for c in (*head, "text", "folded_lines")}
 
     def step(state: dict, rows: Rows) -> tuple[dict, Rows]:
-        out, held, last = empty(), state.get("held"), state.get("last")
+        out, held, last, second, clock = empty(), *(state.get(c) for c in ("held", "last", "second", "clock"))
         for i, no in enumerate(rows["line_no"]):
             last = rows["ts_text"][i] or last
+            second = second if rows["ts_sec"][i] is None else int(rows["ts_sec"][i])
             if held and rows["is_cont"][i] and len(held["more"]) < cfg.max_continuation_lines:
                 held["more"].append(rows["content"][i])
                 continue
             if held:
                 release(held, out)
-            held = {"event_no": no, "level": rows["level"][i], "ts_text": last, "head": rows["head"][i], "more": []}
-        return {"held": held, "last": last}, out
+            if second is not None:  # the clock of a source never goes back
+                clock = second if clock is None else max(clock, second)
+            held = {"event_no": no, "level": rows["level"][i], "ts_text": last, "head": rows["head"][i], "service": rows["service"][i], "sec": clock, "more": []}
+        return {"held": held, "last": last, "second": second, "clock": clock}, out
 
     def on_idle(state: dict) -> tuple[dict, Rows]:
         out = empty()
         if state.get("held"):
             release(state["held"], out)
-        return {"held": None, "last": state.get("last")}, out
+        return {**state, "held": None}, out
 
     return step, on_idle
 
 
 def stream_events(raw_lines: DataFrame, cfg: Config = DEFAULT, idle_s: float = 3.0) -> DataFrame:
-    """Folded events per source; the last one is released after ``idle_s`` of silence."""
-    parsed = lines.parse_lines(raw_lines)
+    """Folded events per source with its service and clock (``sec``); the last one is released after ``idle_s`` of silence
+    (0: with the next line only, so that the operator can run in front of others without timers)."""
+    if "service" not in raw_lines.columns:
+        raw_lines = raw_lines.withColumn("service", F.lit(""))
+    parsed = lines.parse_lines(lines.truncate_long_lines(raw_lines.where(F.trim("payload") != ""), cfg=cfg))
     message = F.when(F.col("message") == "", F.col("line")).otherwise(F.col("message"))
     content = parse.strip_short_scaffold(
         F.when(F.col("message") == "", parse.rstrip(F.col("payload"))).otherwise(F.col("message"))
@@ -141,13 +151,14 @@ def stream_events(raw_lines: DataFrame, cfg: Config = DEFAULT, idle_s: float = 3
     narrow = parsed.select(
         "source_id", "line_no", "is_cont", "level",
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts_text"),
+        F.floor(F.unix_micros("ts") / 1_000_000).alias("ts_sec"), "service",
         message.alias("head"), content.alias("content"),
     )
     step, on_idle = folding_step(cfg)
     return run_step(
         narrow, ["source_id"], "line_no", step,
-        "event_no long, level string, ts_text string, head string, text string, folded_lines long",
-        on_idle, idle_s,
+        "event_no long, level string, ts_text string, head string, service string, sec long, text string, folded_lines long",
+        on_idle if idle_s else None, idle_s,
     ).withColumn("ts", F.to_timestamp("ts_text")).drop("ts_text")
 
 
@@ -164,41 +175,86 @@ def stream_template_minutes(events: DataFrame, delay: str = "60 seconds") -> Dat
     )
 
 
+def run_step_of_source(cfg: Config = DEFAULT, any_purpose: bool = True):
+    """T5 over the events of one source in order: a run is judged the first time the source's clock is ``quiet_s`` past its
+    last event, and never again. State: runs that still wait (those of the last seconds), and judged names for ``judged_kept_s``."""
+
+    def verdict(run: dict) -> str:
+        if run["errors"]:
+            return "failed"
+        if not any_purpose or run["purpose"] is None:
+            return "unknown"
+        if not run["purpose"]:
+            return "hollow"
+        slow = run["p95"] is not None and run["p95"] > 0 and run["last"] - run["first"] > run["p95"] * cfg.slow_factor
+        return "degraded" if slow else "achieved"
+
+    def step(state: dict, rows: Rows) -> tuple[dict, Rows]:
+        waiting, judged = state.get("waiting", {}), state.get("judged", {})
+        names = ("trace_id", "verdict", "n_events", "n_errors", "duration_s", "ended_us", "judged_sec")
+        out: Rows = {c: [] for c in names}
+
+        def settle(now: float) -> None:
+            for name in [n for n, run in waiting.items() if now - run["last"] >= cfg.quiet_s]:
+                run = waiting[name]
+                if run["n"] < cfg.min_judged_events:
+                    continue  # it may still grow
+                del waiting[name]
+                judged[name] = now
+                for c, v in zip(names, (name, verdict(run), run["n"], run["errors"], run["last"] - run["first"], int(run["last"] * 1_000_000), now), strict=True):
+                    out[c].append(v)
+
+        clock = state.get("clock")
+        for i, at in enumerate(rows["at"]):
+            if at is None:
+                continue
+            second = math.floor(at)
+            if clock is None or second > clock:
+                clock = second
+                settle(clock)
+            name = rows["trace_id"][i]
+            if name is None or name in judged:
+                continue
+            run = waiting.setdefault(name, {"n": 0, "errors": 0, "purpose": None, "first": at, "last": at, "p95": None})
+            run["n"] += 1
+            run["errors"] += rows["wrong"][i]
+            if rows["is_purpose"][i] is not None:
+                run["purpose"] = bool(run["purpose"]) or rows["is_purpose"][i]
+            run["first"], run["last"] = min(run["first"], at), max(run["last"], at)
+            run["p95"] = rows["p95_s"][i]
+        keep = None if clock is None else clock - cfg.judged_kept_s
+        judged = {n: at for n, at in judged.items() if at >= keep}
+        waiting = {n: run for n, run in waiting.items() if run["n"] >= cfg.min_judged_events or run["last"] >= keep}
+        return {"waiting": waiting, "judged": judged, "clock": clock}, out
+
+    return step
+
+
 def stream_runs(
-    events: DataFrame, critical: list[str], p95_s: float | None = None, cfg: Config = DEFAULT,
-    delay: str = "60 seconds",
+    events: DataFrame, critical: list[str] | DataFrame, p95_s: float | DataFrame | None = None, cfg: Config = DEFAULT,
 ) -> DataFrame:
-    """T5: a run is judged once, when its source has been quiet about it for ``quiet_s``.
-
-    A session window per run closes on the stream's clock; errors, purpose and span are
-    ordinary partial aggregates.
-    """
-    error = F.col("level").isin("ERROR", "CRITICAL")
-    runs = (
-        events.where(F.col("trace_id").isNotNull())
-        .withWatermark("ts", delay)
-        .groupBy("source_id", "trace_id", F.session_window("ts", f"{int(cfg.quiet_s)} seconds"))
-        .agg(
-            F.count(F.lit(1)).alias("n_events"),
-            F.count_if(error).alias("n_errors"),
-            F.bool_or(F.col("template_id").isin(critical)).alias("purpose_ran"),
-            F.min("ts").alias("opened_at"),
-            F.max("ts").alias("ended_at"),
-        )
-        .where(F.col("n_events") >= cfg.min_judged_events)
-    )
-    span = (F.unix_micros("ended_at") - F.unix_micros("opened_at")) / F.lit(1_000_000.0)
-    slow = F.lit(False) if not p95_s else span > p95_s * cfg.slow_factor
-    verdict = (
-        F.when(F.col("n_errors") > 0, "failed")
-        .when(F.lit(not critical), "unknown")
-        .when(~F.col("purpose_ran"), "hollow")
-        .when(slow, "degraded")
-        .otherwise("achieved")
-    )
-    return runs.select(
-        "source_id", "trace_id", verdict.alias("verdict"), "n_events", "n_errors", span.alias("duration_s"), "ended_at",
+    """T5: a run is judged once, when its source has been quiet about it for ``quiet_s`` of the source's own clock.
+
+    ``critical``: template ids, or a table (source_id, template_id) of purpose steps; ``p95_s``: seconds, or a table (source_id, p95_s).
+    Tables are joined with every batch. A source without purpose steps has runs of unknown purpose."""
+    at = F.unix_micros("ts") / F.lit(1_000_000.0)
+    rows = events.withColumns({"at": at, "wrong": F.col("level").isin("ERROR", "CRITICAL").cast("int")})
+    if isinstance(critical, DataFrame):
+        steps = critical.select("source_id", "template_id").distinct().withColumn("hit", F.lit(True))
+        sources = critical.select("source_id").distinct().withColumn("has", F.lit(True))
+        rows = rows.join(steps, ["source_id", "template_id"], "left").join(sources, "source_id", "left")
+        rows = rows.withColumn("is_purpose", F.when(F.col("has"), F.coalesce("hit", F.lit(False))))
+    else:
+        rows = rows.withColumn("is_purpose", F.col("template_id").isin(critical) if critical else F.lit(None).cast("boolean"))
+    if isinstance(p95_s, DataFrame):
+        rows = rows.join(p95_s.groupBy("source_id").agg(F.max("p95_s").alias("p95_s")), "source_id", "left")
+    else:
+        rows = rows.withColumn("p95_s", F.lit(p95_s).cast("double"))
+    judged = run_step(
+        rows.select("source_id", "event_no", "trace_id", "at", "wrong", "is_purpose", "p95_s"), ["source_id"], "event_no", run_step_of_source(cfg),
+        "trace_id string, verdict string, n_events long, n_errors long, duration_s double, ended_us long, judged_sec long",
     )
+    return judged.withColumn("ended_at", F.timestamp_micros("ended_us")).drop("ended_us")
 
 
 def stream_dedup(records: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -210,133 +266,138 @@ def stream_dedup(records: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def stream_link(events: DataFrame, cfg: Config = DEFAULT, text: str = "text_redacted") -> DataFrame:
-    """Run of every event: stated key, or the session rules over the open sessions."""
+    """Every event with its run: stated key, or the session rules over the open sessions. Guessed runs are numbered per
+    source in the order they open, as in batch. Other columns of the event pass through."""
     step = traces.session_step(cfg.idle_timeout_s, cfg.max_synthetic_events)
+    kept = [c for c in events.columns if c not in ("source_id", "trace_id", "correlation_basis")]
 
     def both(state: dict, rows: Rows) -> tuple[dict, Rows]:
-        state, found = step(state, rows)
-        session = dict(zip(found["event_no"], found["session"]))
-        out: Rows = {"event_no": rows["event_no"], "trace_id": [], "correlation_basis": []}
-        for no, key in zip(rows["event_no"], rows["key"]):
-            out["trace_id"].append(key if key is not None else session.get(no))
-            out["correlation_basis"].append(
-                "extracted" if key is not None else "inferred" if no in session else "none"
-            )
-        return state, out
+        inner, found = step({"open": state.get("open", [])}, rows)
+        guessed, name = state.get("guessed", 0), state.get("name")
+        run_of = {}
+        for no, session, opened in zip(found["event_no"], found["session"], found["opened_no"], strict=True):
+            if opened is not None and opened == no:
+                guessed += 1
+                name = f"req-{guessed:06d}"
+            run_of[no] = session if opened is None else name
+        out: Rows = {c: rows[c] for c in kept}
+        out["trace_id"] = [run_of.get(no) if key is None else key for no, key in zip(rows["event_no"], rows["key"], strict=True)]
+        out["correlation_basis"] = [
+            "extracted" if key is not None else "inferred" if no in run_of else "none" for no, key in zip(rows["event_no"], rows["key"], strict=True)]
+        return {"open": inner["open"], "guessed": guessed, "name": name}, out
+
+    features = traces.session_features(events, text)
+    t = F.col(text)
+    named = events.select("source_id", *kept, keys.extract_key(t).alias("key"), *[
+        getattr(keys, c)(t).alias(c) for c in features.columns if c not in ("source_id", "event_no", "sec", "key")])
+    schema = T.StructType([events.schema[c] for c in kept]).add("trace_id", "string").add("correlation_basis", "string")
+    return run_step(named, ["source_id"], "event_no", both, schema)
+
+
+def stream_detect(events: DataFrame, cfg: Config = DEFAULT, muted: DataFrame | None = None, ticks: bool = False) -> DataFrame:
+    """T4: the seven detectors of ``operators.detect`` on a stream, state per (source, track) and per source. ``muted``
+    (source_id, template_id): a table read with every batch. ``ticks`` adds a row without detector per source and batch that tells its clock."""
+    hits = run_step(
+        signals.all_tracks(events, muted), ["source_id", "track"], "event_no", signals.detector_step(cfg, ticks),
+        signals.HITS.replace("ts timestamp", "ts long"),
+    )
+    return hits.withColumn("ts", F.timestamp_micros("ts"))
+
 
+def stream_incidents(signals: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Signals to incidents by the same grouping step; status follows from the clock."""
     return run_step(
-        traces.session_features(events, text), ["source_id"], "event_no", both,
-        "event_no long, trace_id string, correlation_basis string",
+        signals.select("source_id", "signal_no", "sec", "onset", "service", "trace_id", "template_id", "detector", "severity"),
+        ["source_id"], "signal_no", incidents.grouping_step(cfg),
+        "signal_no long, incident_no long, rules string, opened boolean, recurred boolean",
     )
 
 
-def track_step(cfg: Config = DEFAULT):
-    """D2, D5 and D7 for one track, event by event.
+def timeline_step(cfg: Config = DEFAULT):
+    """Signals and clock readings of one source in order to the entries of its incidents' timelines.
 
-    A track is one template (rate), one operation (duration) or one unit of work (cost),
-    so a busy source is spread over as many keys as it has tracks.
-    """
-    from bisect import bisect_left, insort
-
-    gate = gates.gate_step(cfg.sustain_s, cfg.clear_sustain_s)
-
-    def rate(state: dict, now: float, value: float | None):
-        state["first"] = state.get("first", now)
-        state["total"] = state.get("total", 0) + 1
-        window = state.setdefault("window", [])
-        window.append(now)
-        while window and now - window[0] > cfg.window_s:
-            window.pop(0)
-        history = now - state["first"]
-        if history < cfg.min_history_s:
-            return None
-        completed = state["total"] - len(window)
-        usual = completed / max((history - cfg.window_s) / cfg.window_s, 1.0)
-        bar = max(usual, cfg.rate_floor_per_min)
-        n = float(len(window))
-        state["gate"], hit = gate(state.get("gate", {}), {
-            "sec": [now],
-            "above": [n >= cfg.rate_min_events and n >= bar * cfg.rate_spike_ratio],
-            "below": [n <= bar * cfg.rate_clear_ratio],
-        })
-        if "fire" in hit["change"]:
-            return n, usual, n / bar
-        return None
-
-    def against_history(state: dict, now: float, value: float, least: int, ratio: float, upper: bool, cooldown: float):
-        arrived, ordered = state.setdefault("arrived", []), state.setdefault("ordered", [])
-        n, hit = len(ordered), None
-        if n >= least:
-            usual = ordered[n // 2] if upper or n % 2 else (ordered[n // 2 - 1] + ordered[n // 2]) / 2
-            last = state.get("fired")
-            if usual > 0 and value >= usual * ratio and (last is None or now - last >= cooldown):
-                state["fired"], hit = now, (value, usual, value / usual)
-        arrived.append(value)
-        insort(ordered, value)
-        if len(arrived) > cfg.max_samples:
-            del ordered[bisect_left(ordered, arrived.pop(0))]
-        return hit
+    Every row first lets the source's clock run: incidents that were held long enough are presented, quiet ones resolved, each at the
+    second it became due. State is what grouping needs; incidents resolved longer than ``forget_s`` ago leave it."""
+    grouping = incidents.grouping_step(cfg)
 
     def step(state: dict, rows: Rows) -> tuple[dict, Rows]:
-        out: Rows = {c: [] for c in ("event_no", "sec", "detector", "metric", "observed", "baseline", "ratio")}
-        for i, now in enumerate(rows["sec"]):
-            kind, value = rows["kind"][i], rows["value"][i]
-            if kind == "rate":
-                name, hit = "RateSpike", rate(state, now, value)
-            elif kind == "duration":
-                name, hit = "LatencyShift", against_history(
-                    state, now, value, cfg.min_samples, cfg.spike_ratio, False, cfg.latency_cooldown_s
-                )
-            else:
-                name, hit = "CostAnomaly", against_history(
-                    state, now, value, cfg.cost_min_samples, cfg.cost_ratio, True, cfg.cost_cooldown_s
-                )
-            if hit:
-                for c, v in zip(out, (rows["event_no"][i], now, name, rows["metric"][i], *hit)):
-                    out[c].append(v)
-        return state, out
+        groups, open_ones, clock = state.get("groups", {}), state.get("open", {}), state.get("clock")
+        out: Rows = {c: [] for c in ("incident_no", "at_s", "kind", "detail", "grouped_by", "status")}
+
+        def tell(no: int, at: float, kind: str, detail: str, status: str, grouped_by: str = "") -> None:
+            for c, v in zip(out, (no, int(at), kind, detail, grouped_by, status), strict=True):
+                out[c].append(v)
+
+        def age(now: float) -> None:
+            for no, i in sorted(open_ones.items(), key=lambda x: int(x[0])):
+                if i["status"] == "forming" and now - i["opened"] >= cfg.hold_s:
+                    i["status"] = "open"
+                    tell(int(no), i["opened"] + cfg.hold_s, "presented", incidents.PRESENTED, "open")
+                if now - i["last"] >= cfg.resolve_quiet_s:
+                    tell(int(no), i["last"] + cfg.resolve_quiet_s, "resolved", incidents.RESOLVED, "resolved")
+                    del open_ones[no]
+
+        for n, now in enumerate(rows["sec"]):
+            if clock is None or now > clock:
+                clock = now
+                age(now)
+            if not rows["detector"][n]:
+                continue
+            groups, put = grouping(groups, {c: [rows[c][n]] for c in ("signal_no", "sec", "onset", "service", "trace_id", "template_id", "detector", "severity")})
+            if put["incident_no"][0] is None:
+                continue
+            no = put["incident_no"][0]
+            if put["opened"][0]:
+                open_ones[str(no)] = {"opened": now, "last": now, "status": "forming"}
+                tell(no, now, "opened", f"opened by {rows['detector'][n]} ({rows['severity'][n]})", "forming")
+            elif put["recurred"][0]:
+                open_ones[str(no)] = {"opened": now, "last": now, "status": "open"}
+                tell(no, now, "recurred", incidents.RECURRED, "open")
+            open_ones[str(no)]["last"] = now
+            tell(no, now, "signal", f"{rows['detector'][n]} {rows['metric'][n]}", open_ones[str(no)]["status"], put["rules"][0])
+        if cfg.forget_s is not None and groups:
+            groups["incidents"] = [i for i in groups["incidents"] if clock - i["last"] < cfg.resolve_quiet_s + cfg.forget_s]
+        return {"groups": groups, "open": open_ones, "clock": clock}, out
 
     return step
 
 
-def detection_tracks(events: DataFrame) -> DataFrame:
-    """One narrow row per event and track it belongs to."""
-    head = classify.head_line(F.col("text_redacted"))
-    cost = measure.extract_cost(head)
-    base = events.withColumns({"__m": measure.measurement(head), "__c": cost}).withColumns({
-        "__d": F.col("__m.value_ms"), "__o": measure.operation_name(head, F.col("__m.text")),
-    })
-
-    def track(kind: str, name: Column, metric: Column, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), name.alias("track"), metric.alias("metric"), value.alias("value"))
-
-    tracks = F.array_compact(F.array(
-        track("rate", F.concat(F.lit("t:"), F.col("template_id")), F.lit("events_per_min"), F.lit(None).cast("double")),
-        F.when(F.col("__d").isNotNull(), track(
-            "duration", F.concat_ws(":", F.lit("d"), F.col("service"), F.col("__o")),
-            F.concat("__o", F.lit(" ms")), F.col("__d"),
-        )),
-        F.when(F.col("__c").isNotNull(), track(
-            "cost", F.concat(F.lit("c:"), F.col("__c.label")), F.concat("__c.label", F.lit(" tokens")), F.col("__c.amount"),
-        )),
-    ))
-    return base.select("source_id", "event_no", F.col("sec").cast("double").alias("sec"), F.explode(tracks).alias("t")).select(
-        "source_id", "t.track", "t.kind", "t.metric", "t.value", "event_no", "sec"
-    )
+def stream_incident_timeline(hits: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """What happened to which incident when: opened, signal, presented, resolved, recurred, and the status after it.
+
+    ``hits``: signals of ``stream_detect(..., ticks=True)``; its clock rows let incidents age while nothing is wrong. A source's
+    rows are few: signals, and one clock row per batch."""
+    rank = F.coalesce(F.array_position(F.array(*[F.lit(d) for d in incidents.DETECTOR_ORDER]), F.col("detector")), F.lit(0))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    rows = hits.where("sec is not null").select(
+        "source_id", "sec", "event_no", "detector", "metric", "service", "trace_id", "template_id", "severity", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("onset"),
+        F.lit(0).cast("long").alias("signal_no"),
+        # clock readings come after the signals of their second
+        F.struct(
+            "sec", F.col("detector").isNull().alias("is_clock"), "event_no", rank.alias("rank"), text("template_id").alias("t"), text("metric").alias("m"),
+            text("trace_id").alias("r")).alias("place"),
+    ).withColumn("place", F.concat_ws(
+        "\u0001", F.lpad(F.col("place.sec").cast("string"), 20, "0"), F.col("place.is_clock").cast("int").cast("string"), F.lpad(F.col("place.event_no").cast("string"), 20, "0"),
+        F.col("place.rank").cast("string"), "place.t", "place.m", "place.r"))
+    return run_step(
+        rows, ["source_id"], "place", timeline_step(cfg), "incident_no long, at_s long, kind string, detail string, grouped_by string, status string")
 
 
-def stream_detect(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """T4: rate, latency and cost detectors on a stream, state per (source, track)."""
-    return run_step(
-        detection_tracks(events), ["source_id", "track"], "event_no", track_step(cfg),
-        "event_no long, sec double, detector string, metric string, observed double, baseline double, ratio double",
-    )
+# ------------------------------------------------------------------- the whole way
 
 
-def stream_incidents(signals: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Signals to incidents by the same grouping step; status follows from the clock."""
-    return run_step(
-        signals.select("source_id", "signal_no", "sec", "onset", "service", "trace_id", "template_id", "detector", "severity"),
-        ["source_id"], "signal_no", incidents.grouping_step(cfg),
-        "signal_no long, incident_no long, rules string, opened boolean, recurred boolean",
-    )
+def stream_linked_events(raw_lines: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """T1, P10-P11, R5 and T3 in one plan: raw lines of a stream to folded, redacted, templated and linked events."""
+    folded = lines.protect_and_mask(stream_events(raw_lines, cfg, idle_s=0.0))
+    narrow = folded.select("source_id", "event_no", "sec", "ts", "service", "level", "text_redacted", "mask", "folded_lines")
+    return stream_link(stream_templates(narrow, cfg), cfg)
+
+
+def stream_signals(raw_lines: DataFrame, cfg: Config = DEFAULT, muted: DataFrame | None = None, ticks: bool = False) -> DataFrame:
+    """Raw lines to the signals of all detectors, as one query."""
+    return stream_detect(stream_linked_events(raw_lines, cfg), cfg, muted, ticks)
+
+
+def stream_lines_to_incidents(raw_lines: DataFrame, cfg: Config = DEFAULT, muted: DataFrame | None = None) -> DataFrame:
+    """Raw lines to the timelines of incidents, as one query."""
+    return stream_incident_timeline(stream_signals(raw_lines, cfg, muted, ticks=True), cfg)
