@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions import classify
+from ..plans import scan
 from .incidents import INCIDENT
 from .templates import keep_last_n
 
@@ -58,22 +59,153 @@ def archive_incidents(signatures: DataFrame, archive: DataFrame | None = None, c
     return keep_last_n(merged.withColumn("__o", order), ["source_id"], "__o", cfg.archive_kept).drop("__o")
 
 
-def _jaccard(a: Column, b: Column) -> Column:
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both  # the sets of a signature are distinct
-    return F.when(union == 0, 0.0).otherwise(both / union)
+def _agreement(common: Column, a: Column, b: Column) -> Column:
+    """Jaccard index of two distinct sets from the number of their common members."""
+    union = F.size(a) + F.size(b) - common
+    return F.when(union == 0, 0.0).otherwise(common / union)
 
 
-def similarity(a: str, b: str) -> Column:
-    """Weighted agreement of two signatures given by their struct columns."""
+def with_similarity(pairs: DataFrame, a: str, b: str, need: str | None = None) -> DataFrame:
+    """Adds ``similarity``, the weighted agreement of the signatures in the struct columns ``a`` and ``b``.
+
+    Common members are counted once per pair, not once per mention. With ``need``, pairs that cannot reach it by their
+    short parts are left out before the longer ones are compared."""
+    short, long = ("services", "cause_tokens"), ("templates", "detectors")
+    common = lambda parts: {f"__{c}": F.size(F.array_intersect(F.col(f"{a}.{c}"), F.col(f"{b}.{c}"))) for c in parts}
+    agreed = {c: _agreement(F.col(f"__{c}"), F.col(f"{a}.{c}"), F.col(f"{b}.{c}")) for c in (*short, *long)}
+    agreed["severity"] = F.when((F.col(f"{a}.severity") == F.col(f"{b}.severity")) & (F.col(f"{a}.severity") != ""), 1.0).otherwise(0.0)
+    rows = scan.computed_once(pairs.withColumns(common(short)))
+    if need is not None:
+        reach = sum((F.lit(WEIGHTS[c]) * agreed[c] for c in (*short, "severity")), F.lit(HALF_DIGIT))
+        rows = rows.where(reach + sum(WEIGHTS[c] for c in long) >= F.col(need))
+    rows = scan.computed_once(rows.withColumns(common(long)))
     score = F.lit(0.0)
-    for part, weight in WEIGHTS.items():
-        x, y = F.col(f"{a}.{part}"), F.col(f"{b}.{part}")
-        agreed = (
-            F.when((x == y) & (x != ""), 1.0).otherwise(0.0) if part == "severity" else _jaccard(x, y)
-        )
-        score = score + F.lit(weight) * agreed
-    return score
+    for part, weight in WEIGHTS.items():  # in this order, so that sums are the same everywhere
+        score = score + F.lit(weight) * agreed[part]
+    return rows.withColumn("similarity", score).drop(*[f"__{c}" for c in (*short, *long)])
+
+
+#: similarities from which a precedent shares certain parts for sure; a query takes the highest one below its own bar
+LEVELS = (0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 0.999)
+SETS = ("templates", "cause_tokens", "detectors", "services")
+#: similarities are compared at three decimals, as they are read
+HALF_DIGIT = 0.0005
+#: parts of a list of looks that share a key
+LIST_PARTS = 32
+
+
+def _least_share(part: str, total: float) -> float:
+    """What two sets of this part must at least have in common where the whole similarity is over ``total``."""
+    return (total - (1.0 - WEIGHTS[part])) / WEIGHTS[part]
+
+
+def _prefix_keys(terms: Column, least: float, longest: int, asking: bool) -> Column:
+    """Keys of which two sets (rarest terms first) share one if their Jaccard index exceeds ``least``.
+
+    Sets of n and m terms then share at least o = least / (1 + least) * (n + m) of them, so one of these is among the first
+    n - o + 1 and the first m - o + 1. Where ``least`` is low the sizes are left out and o = least * n."""
+    n = F.size(terms)
+    first = lambda shared: F.slice(terms, 1, F.greatest(n - F.greatest(shared, F.lit(1)) + 1, F.lit(0)))
+    up = lambda x: F.ceil(x - 1e-9).cast("int")
+    if least < 0.5:
+        return first(up(n * max(least, 0.0)))
+    other = F.sequence(F.greatest(up(n * least), F.lit(1)), F.greatest(F.least(F.floor(n / least + 1e-9).cast("int"), F.lit(longest)), up(n * least), F.lit(1)))
+
+    def with_partner(m: Column) -> Column:
+        sizes = F.concat_ws("/", *[x.cast("string") for x in ((n, m) if asking else (m, n))])
+        return F.transform(first(up((n + m) * (least / (1 + least)))), lambda t: F.concat_ws("/", sizes, t))
+
+    return F.flatten(F.transform(other, with_partner))
+
+
+def _looks(queries: DataFrame, archive: DataFrame) -> DataFrame:
+    """``source_id, class, asked, archived, *parts`` and the sets with their rarest terms first (``by_*``), one row per look."""
+    parts = [*SETS, "severity"]
+    both = queries.select("source_id", "class", *parts, F.lit(True).alias("asked")).unionByName(
+        archive.select("source_id", "class", *parts, F.lit(False).alias("asked")))
+    looks = scan.durable(both.groupBy("source_id", "class").agg(
+        *[F.first(c).alias(c) for c in parts], F.bool_or("asked").alias("asked"), F.bool_or(~F.col("asked")).alias("archived")))
+    marked = lambda c: F.transform(c, lambda t: F.struct(F.lit(c).alias("part"), t.alias("term")))
+    terms = looks.select("source_id", "class", F.inline(F.flatten(F.array(*[marked(c) for c in SETS]))))
+    common = terms.groupBy("source_id", "part", "term").agg(F.count(F.lit(1)).alias("n"))
+    placed = terms.join(common, ["source_id", "part", "term"]).groupBy("source_id", "class").agg(*[
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == c, F.struct("n", "term")))), lambda x: x["term"]).alias(f"by_{c}") for c in SETS])
+    none = F.array().cast("array<string>")
+    return looks.join(placed, ["source_id", "class"], "left").withColumns({f"by_{c}": F.coalesce(f"by_{c}", none) for c in SETS})
+
+
+def _bars(looks: DataFrame, archive: DataFrame, top: int, cfg: Config) -> DataFrame:
+    """``source_id, q, bar``: a similarity that ``top + 1`` incidents are known to reach, one of which may be the asked one.
+
+    Known from shelves: the newest incidents with the same look, with some parts of it the same, and with the same but for one
+    template or one detector more or less."""
+    whole = ["templates", "cause_tokens", "detectors", "services", "severity"]
+    some = [whole, *[[c for c in whole if c != part] for part in whole], ["templates", "cause_tokens"], ["detectors", "services", "severity"]]
+
+    def but_one(part: str) -> Column:
+        rest = [c for c in whole if c != part]
+        less = F.transform(F.col(part), lambda x: F.array_remove(F.col(part), x))
+        return F.transform(F.concat(F.array(F.col(part)), less), lambda left: F.xxhash64(F.lit(part), left, *rest))
+
+    shelf = F.explode(F.concat(F.array(*[F.xxhash64(F.lit(i), *keys) for i, keys in enumerate(some)]), but_one("templates"), but_one("detectors")))
+    newest = Window.partitionBy("source_id", "shelf").orderBy(F.desc("opened_at"), F.desc("incident_no"))
+    on_shelf = archive.select("source_id", "class", "opened_at", "incident_no", shelf.alias("shelf")).withColumn("r", F.row_number().over(newest)).where(F.col("r") <= top + 1)
+    found = looks.where("asked").select("source_id", F.col("class").alias("q"), shelf.alias("shelf")).join(on_shelf, ["source_id", "shelf"])
+    known = found.groupBy("source_id", "q", F.col("class").alias("p")).agg(F.countDistinct("opened_at", "incident_no").alias("n"))
+    scored = _scored(known, looks).select("source_id", "q", "similarity", "n")
+    along = Window.partitionBy("source_id", "q").orderBy(F.desc("similarity"))
+    reached = scored.withColumn("upto", F.sum("n").over(along.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("upto") > top)
+    return reached.groupBy("source_id", "q").agg(F.max(F.round("similarity", 3)).alias("bar"))
+
+
+def _scored(pairs: DataFrame, looks: DataFrame) -> DataFrame:
+    parts = F.struct(*SETS, "severity")
+    side = lambda name, kind: looks.where(kind).select("source_id", F.col("class").alias(name), parts.alias(f"{name}s"))
+    return with_similarity(pairs.join(side("q", "asked"), ["source_id", "q"]).join(side("p", "archived"), ["source_id", "p"]), "qs", "ps").drop("qs", "ps")
+
+
+def _candidates(looks: DataFrame, bars: DataFrame, cfg: Config) -> DataFrame:
+    """``source_id, q, p, similarity`` of all pairs of looks that reach the asked one's bar."""
+    # like the archive's vocabulary, the longest set is one number
+    longest = looks.agg(F.max(F.greatest(*[F.size(c) for c in SETS])).alias("n")).first()["n"] or 0
+    numbers = [F.transform(c, lambda t: F.xxhash64(t)).alias(c) for c in SETS]  # in place of texts, as are the keys
+    sides = [F.col("source_id"), F.col("class"), F.struct(*numbers, "severity").alias("s"), *[F.col(f"by_{c}") for c in SETS]]
+    least = cfg.min_similarity - HALF_DIGIT
+    asked = looks.where("asked").join(bars.withColumnRenamed("q", "class"), ["source_id", "class"], "left").select(
+        *sides, F.greatest(F.coalesce(F.col("bar"), F.lit(0.0)) - HALF_DIGIT, F.lit(least)).alias("need"))
+    old = looks.where("archived").select(*sides)
+
+    def keys(level: float, asking: bool) -> Column:
+        """Every look over a level's similarity has one of these keys in common with the asked one."""
+        ends = lambda part: _prefix_keys(F.col(f"by_{part}"), _least_share(part, level), longest, asking)
+        mark = F.concat_ws("\u0001", F.lit(str(level)), F.col("severity")) if level >= 0.9 else F.lit(str(level))
+        one = F.transform(ends("services" if level >= 0.9 else "templates"), lambda x: F.concat_ws("\u0001", mark, x))
+        if level < 0.75:
+            return one
+        words = ends("cause_tokens")
+        return F.flatten(F.transform(one, lambda x: F.transform(words, lambda w: F.concat_ws("\u0001", x, w))))
+
+    # below the levels any one part must agree by itself: the best of four weighted means is no less than the mean
+    alone = (least - WEIGHTS["severity"]) / (1 - WEIGHTS["severity"])
+
+    def alone_keys(asking: bool) -> Column:
+        marked = lambda c: F.transform(_prefix_keys(F.col(f"by_{c}"), alone, longest, asking), lambda x: F.concat_ws("\u0001", F.lit(c), x))
+        return F.concat(*[marked(c) for c in SETS])
+
+    severity = lambda df: df.withColumn("severity", F.col("s.severity"))
+    chosen = alone_keys(True)
+    for level in LEVELS:
+        chosen = F.when(F.col("need") > level, keys(level, True)).otherwise(chosen)
+    a = severity(asked).withColumn("keys", F.array_distinct(chosen)).select("source_id", F.col("class").alias("q"), F.col("s").alias("qs"), "need", "keys")
+    b = severity(old).withColumn("keys", F.array_distinct(F.concat(alone_keys(False), *[keys(level, False) for level in LEVELS])))
+    b = b.select("source_id", F.col("class").alias("p"), F.col("s").alias("ps"), "keys")
+    # a list of a common term is split into parts, and who asks for it asks every part; few bytes make many comparisons here
+    listed = lambda df, part: df.withColumn("key", F.explode("keys")).select(
+        *[c for c in df.columns if c != "keys"], F.xxhash64("key").alias("key"), part.alias("part")).repartition(LIST_PARTS, "source_id", "key", "part")
+    asks = listed(a, F.explode(F.array(*[F.lit(i) for i in range(LIST_PARTS)])))
+    lists = listed(b, F.pmod("p", F.lit(LIST_PARTS)).cast("int"))
+    met = with_similarity(asks.join(lists, ["source_id", "key", "part"]), "qs", "ps", "need")
+    return scan.computed_once(met).where(F.col("similarity") >= F.col("need")).select("source_id", "q", "p", "similarity").distinct()
 
 
 def similar_incidents(
@@ -81,57 +213,24 @@ def similar_incidents(
 ) -> DataFrame:
     """M3: the best precedents of each incident, out of the whole archive of its source.
 
-    Incidents that look the same are scored once: both sides are reduced to distinct signatures, an archived
-    signature keeping its newest ``top + 1`` incidents (one may be the asked one itself; older ones can only tie).
-    Candidates come from two inverted indexes: signatures that share a template or a word of the cause, and, since
-    detectors, services and severity alone can reach the least similarity too, the newest incidents of every combination
-    of those three that is close enough by itself. A signature outside both is outranked by these. The least similarity
-    must be above what services and severity give together (0.2).
+    Incidents that look the same are compared once: both sides are reduced to distinct looks, an archived look keeping its
+    newest ``top + 1`` incidents (one may be the asked one itself; older ones can only tie). The search is a threshold join. Shelves of
+    nearly equal looks first give every asked look a bar that its answers reach. What reaches the bar must agree on
+    templates, over 0.75 on words of the cause too, and over 0.9 on severity and services, by shares that follow from the weights; looks are
+    therefore met by the rare ends of their term lists alone, so terms that nearly all share form no pairs. Looks without a bar above
+    0.65 are met by any one part that agrees well enough by itself. The least similarity must be above 0.1.
     """
-    parts = ["templates", "cause_tokens", "detectors", "services", "severity"]
-    frame = ["detectors", "services", "severity"]
+    parts = [*SETS, "severity"]
+    coded = lambda df: df.withColumn("class", F.xxhash64(*parts))
+    asked, old = scan.durable(coded(queries)), scan.durable(coded(archive))
     entry = F.struct("opened_at", "incident_no", "cause", "outcome")
-    newest = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("opened_at"), F.desc("incident_no")))
-    coded = lambda df: df.withColumns({"class": F.xxhash64(*parts), "frame": F.xxhash64(*frame)})
-    old = coded(archive)
-    ranked = old.withColumns({"__in_class": newest("source_id", "class"), "__in_frame": newest("source_id", "frame")})
-    kept = ranked.where((F.col("__in_class") <= top + 1) | (F.col("__in_frame") <= top + 1))
-    members = kept.where(F.col("__in_class") <= top + 1).groupBy("source_id", "class").agg(F.collect_list(entry).alias("members"))
-    looks = kept.groupBy("source_id", "class").agg(*[F.first(c).alias(c) for c in parts])
-    asked = coded(queries)
-    signatures = asked.groupBy("source_id", "class").agg(*[F.first(c).alias(c) for c in (*parts, "frame")])
-
-    def terms(df: DataFrame, name: str) -> DataFrame:
-        marked = lambda c, mark: F.transform(c, lambda x: F.concat(F.lit(mark), x))
-        return df.select("source_id", F.col("class").alias(name), F.explode(F.array_distinct(F.concat(marked("templates", "t"), marked("cause_tokens", "c")))).alias("term"))
-
-    shared = terms(signatures, "q").join(terms(looks, "p"), ["source_id", "term"]).select("source_id", "q", "p").distinct()
-    frames = signatures.groupBy("source_id", "frame").agg(*[F.first(c).alias(c) for c in frame])
-    shelf = kept.where(F.col("__in_frame") <= top + 1).select("source_id", "frame", F.col("class").alias("p"), *frame)
-    old_frames = shelf.groupBy("source_id", "frame").agg(*[F.first(c).alias(c) for c in frame])
-    none = F.array().cast("array<string>")
-    look = F.struct("frame", none.alias("templates"), none.alias("cause_tokens"), *frame)
-    by_detector = lambda df, name: df.select("source_id", F.explode("detectors").alias("detector"), look.alias(name))
-    close = (
-        by_detector(frames, "q").join(by_detector(old_frames, "p"), ["source_id", "detector"])
-        .where(F.round(similarity("q", "p"), 3) >= cfg.min_similarity)
-        .select("source_id", F.col("q.frame").alias("frame"), F.col("p.frame").alias("p_frame")).distinct()
-    )
-    framed = (
-        signatures.select("source_id", F.col("class").alias("q"), "frame").join(close, ["source_id", "frame"])
-        .join(shelf.select("source_id", F.col("frame").alias("p_frame"), "p").distinct(), ["source_id", "p_frame"]).select("source_id", "q", "p")
-    )
-    pairs = shared.unionByName(framed).distinct()
-    a = signatures.select("source_id", F.col("class").alias("q"), F.struct(*parts).alias("qs"))
-    b = looks.select("source_id", F.col("class").alias("p"), F.struct(*parts).alias("ps")).join(
-        members.withColumnRenamed("class", "p"), ["source_id", "p"])
-    scored = (
-        pairs.join(a, ["source_id", "q"]).join(b, ["source_id", "p"])
-        .withColumn("similarity", similarity("qs", "ps"))
-        # compared at three decimals, as the score is read
-        .where(F.round("similarity", 3) >= cfg.min_similarity)
-        .select("source_id", "q", "similarity", F.explode("members").alias("m"))
-    )
+    newest = Window.partitionBy("source_id", "class").orderBy(F.desc("opened_at"), F.desc("incident_no"))
+    members = old.withColumn("__r", F.row_number().over(newest)).where(F.col("__r") <= top + 1).groupBy("source_id", F.col("class").alias("p")).agg(
+        F.collect_list(entry).alias("members"))
+    looks = scan.durable(_looks(asked, old))
+    pairs = _candidates(looks, _bars(looks, old, top, cfg), cfg)
+    scored = pairs.join(members, ["source_id", "p"]).select("source_id", "q", "similarity", F.explode("members").alias("m"))
+    scored = scored.where(F.round("similarity", 3) >= cfg.min_similarity)
     order = [F.round("similarity", 3).desc(), F.col("m.opened_at").desc(), F.col("m.incident_no").desc()]
     best = Window.partitionBy("source_id", "q").orderBy(*order)
     per_look = scored.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= top + 1)
