@@ -23,7 +23,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -115,6 +114,19 @@ def range_bounds(keys: DataFrame, ranges: int) -> list[int]:
     return [] if row["least"] is None else sorted({row["least"], *row["at"]})
 
 
+def place_of(key: str, bounds: list[int]) -> Column:
+    """Twice the number of the range a key lies in, plus one where the row opens it: a binary search as an expression, so
+    that dealing the texts out takes no Python worker."""
+
+    def search(low: int, high: int) -> str:
+        if high - low == 1:
+            return f"{2 * low} + int({key} = {bounds[low]}L)"
+        middle = (low + high) // 2
+        return f"CASE WHEN {key} < {bounds[middle]}L THEN {search(low, middle)} ELSE {search(middle, high)} END"
+
+    return F.expr(search(0, len(bounds))) if bounds else F.lit(0)
+
+
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     """``doc_id, text, range, ahead`` dealt by range and sorted; ``ahead`` marks the copy of a later range's first row."""
     keyed = docs.select(
@@ -122,17 +134,11 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"))
     bounds = range_bounds(keyed.select("key"), ranges)
 
-    @F.pandas_udf("long")
-    def place(key):
-        """Twice the range, plus one where the row opens it."""
-        at = np.searchsorted(np.array(bounds, np.int64), key.to_numpy(), side="right") - 1
-        return pd.Series(at * 2 + (np.array(bounds, np.int64)[at] == key.to_numpy()))
-
     at = F.floor(F.col("place") / 2).cast("int")
     opens = F.col("place") % 2 == 1
     own: Column = F.struct(at.alias("range"), F.lit(False).alias("ahead"))
     copy: Column = F.struct(F.when(at == 0, len(bounds) - 1).otherwise(at - 1).alias("range"), F.lit(True).alias("ahead"))
-    dealt = keyed.withColumn("place", place("key")).select("doc_id", "key", "text", F.inline(F.when(opens, F.array(own, copy)).otherwise(F.array(own))))
+    dealt = keyed.withColumn("place", place_of("key", bounds)).select("doc_id", "key", "text", F.inline(F.when(opens, F.array(own, copy)).otherwise(F.array(own))))
     return dealt.repartition("range").sortWithinPartitions("range", "ahead", "key", "text")
 
 
