@@ -121,24 +121,6 @@ def detect_novelty(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
-def _recent_occurrences(hits: DataFrame, events: DataFrame, since: Column) -> DataFrame:
-    """Evidence of a rate signal: the last three occurrences, looked up by second."""
-    seconds = hits.select(
-        "source_id", "template_id", F.col("event_no").alias("hit_no"),
-        F.explode(F.sequence(since.cast("long"), F.col("until").cast("long"))).alias("sec"),
-    )
-    seen = (
-        events.select(*TRACK, "sec", F.col("event_no").alias("no"), "text_redacted")
-        .join(seconds, [*TRACK, "sec"])
-        .where(F.col("no") <= F.col("hit_no"))
-        .withColumn("ev", F.array_join(classify.evidence_lines(F.col("text_redacted")), "\n"))
-    )
-    last3 = templates.keep_last_n(seen, [*TRACK, "hit_no"], "no", 3)
-    return last3.groupBy(*TRACK, F.col("hit_no").alias("event_no")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("no", "ev"))), lambda x: x["ev"]).alias("evidence")
-    )
-
-
 def _numbered_lines(hits: DataFrame, events: DataFrame, keys: list[str], upto: Column, n: int, cfg: Config) -> DataFrame:
     """The last ``n`` of the first ``upto`` events of each hit's key: keys, hit_no, no, text_redacted.
 
@@ -151,6 +133,17 @@ def _numbered_lines(hits: DataFrame, events: DataFrame, keys: list[str], upto: C
     return found.join(events.select("source_id", F.col("event_no").alias("no"), "text_redacted"), ["source_id", "no"])
 
 
+def _occurrences(hits: DataFrame, events: DataFrame, upto: Column, cfg: Config) -> DataFrame:
+    """Evidence of a rate signal: the last three of the first ``upto`` occurrences of its template."""
+    lines = _numbered_lines(hits, events.where(F.col("sec").isNotNull()), TRACK, upto, 3, cfg)
+    return lines.groupBy(*TRACK, F.col("hit_no").alias("event_no")).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("no", "text_redacted"))),
+            lambda x: F.array_join(classify.evidence_lines(x["text_redacted"]), "\n"),
+        ).alias("evidence")
+    )
+
+
 def rate_conditions(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Gate input of D2: per template and second the conditions at its first and last event.
 
@@ -178,7 +171,7 @@ def rate_conditions(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         tracked.where(history >= cfg.min_history_s)
         .withColumn("usual", usual)
         .select(
-            *TRACK, "sec", F.col("first_no").alias("event_no"), "usual",
+            *TRACK, "sec", F.col("first_no").alias("event_no"), "usual", (F.col("upto") - F.col("n") + 1).alias("seen"),
             at_first.cast("double").alias("observed"),
             above(at_first).alias("above"), below(at_first).alias("below"),
             above(at_last).alias("above_end"), below(at_last).alias("below_end"),
@@ -193,15 +186,15 @@ def detect_rate_spike(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     gated = scan.chained_fold(
         rows.join(breached, TRACK, "left_semi"), TRACK, "sec",
         gates.gate_step(cfg.sustain_s, cfg.clear_sustain_s),
-        "sec long, event_no long, usual double, observed double, change string", cfg.fold_rows, dense=True,
+        "sec long, event_no long, usual double, seen long, observed double, change string", cfg.fold_rows, dense=True,
     )
-    fired = gated.where("change = 'fire'").select(
+    fired = scan.durable(gated.where("change = 'fire'").select(
         *TRACK, "event_no", "observed", F.col("usual").alias("baseline"),
-        (F.col("observed") / F.greatest("usual", F.lit(cfg.rate_floor_per_min))).alias("ratio"),
-        F.col("sec").alias("until"),
-    )
-    seen = _recent_occurrences(fired, events, F.col("until") - cfg.window_s)
-    hits = fired.drop("until").join(seen, [*TRACK, "event_no"], "left")
+        (F.col("observed") / F.greatest("usual", F.lit(cfg.rate_floor_per_min))).alias("ratio"), "seen",
+    ))
+    # the last three occurrences up to the one that fired, by their numbers
+    shown = _occurrences(fired, events, F.col("seen"), cfg)
+    hits = fired.drop("seen").join(shown, [*TRACK, "event_no"], "left")
     return _signals(
         hits, events, "RateSpike", F.lit("events_per_min"), F.lit("P2"), cfg.sustain_s,
         own_template=False,
@@ -257,13 +250,7 @@ def detect_rate_drop(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         )
     )
     # the last three occurrences before the template stopped, by their numbers
-    lines = _numbered_lines(hits, events.where(F.col("sec").isNotNull()), TRACK, F.col("upto"), 3, cfg)
-    seen = lines.groupBy(*TRACK, F.col("hit_no").alias("event_no")).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("no", "text_redacted"))),
-            lambda x: F.array_join(classify.evidence_lines(x["text_redacted"]), "\n"),
-        ).alias("evidence")
-    )
+    seen = _occurrences(hits, events, F.col("upto"), cfg)
     return _signals(
         hits.drop("upto").join(seen, [*TRACK, "event_no"], "left"), events, "RateDrop",
         F.lit("silence_gap_s"), F.lit("P3"), own_template=False,
