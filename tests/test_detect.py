@@ -222,3 +222,25 @@ def test_incidents_do_not_depend_on_segments(spark):
     a = incidents.group_incidents(_signals(spark, rows)).select(*cols)
     b = incidents.group_incidents(_signals(spark, rows), SMALL).select(*cols)
     assert a.exceptAll(b).count() == 0 and a.count() == 300
+
+
+def test_the_cause_says_where_the_flow_runs(spark):
+    rows = [(0, "D", "T1", "tr1", "web", "P2"), (5, "E", "T2", "tr1", "db", "P2"), (9, "E", "T2", "tr1", "db", "P2"), (5000, "D", "T8", "x", "web", "P2")]
+    members = incidents.group_incidents(_signals(spark, rows))
+    assert {r.incident_no for r in members.collect()} == {1, 2}
+    lines = F.when(F.col("sec") == 5, F.array(F.lit("[cache] miss"))).when(F.col("sec") == 9, F.array(F.lit(""))).otherwise(F.array(F.lit("plain words")))
+    members = members.withColumn("evidence", lines)
+    ranks = spark.createDataFrame([("s", "web", 0.1), ("s", "cache", 0.0), ("s", "queue", 0.9)], "source_id string, component string, rank double")
+    why = {r.incident_no: r.cause_why for r in incidents.rank_cause(members, ranks).collect()}
+    assert why == {1: "earliest onset of 3 member(s); 3 member(s) share its trace tr1; flow context: cache → web", 2: "earliest onset of 1 member(s)"}
+    alone = {r.cause_why for r in incidents.rank_cause(members, ranks.limit(1)).collect()}
+    assert all(w.endswith("no flow graph yet - ranked by timing alone") for w in alone)
+
+
+def test_timelines_tell_every_resolution_and_what_stays_open(spark):
+    rows = [(0, "D", "T1", "a", "web", "P2"), (7200, "D", "T1", "b", "web", "P2"), (9000, "D", "T1", "c", "web", "P2")]
+    members = incidents.group_incidents(_signals(spark, rows))
+    clock = _signals(spark, [(9100, "x", "x", "x", "x", "P2")])
+    life = incidents.incident_lifecycle(members, clock)
+    told = [(r.at_s, r.kind) for r in incidents.incident_timeline(members, life, ended=True).orderBy("at_s", "kind").collect() if r.kind != "signal"]
+    assert told == [(0, "opened"), (45, "presented"), (300, "resolved"), (7200, "recurred"), (7500, "resolved"), (9000, "note"), (9000, "recurred")]
