@@ -1,7 +1,8 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences (at line ends and at a full stop, question or exclamation mark in front of white space),
-sentences are normalised (lower case, words of letters and digits with inner dots and dashes, marks around them dropped), and a normalised sentence that is
+A text is cut into sentences: at a full stop, question or exclamation mark in front of white space, at blank lines, and at line
+ends, except that a sentence wrapped over lines is tried as a whole too (up to ``WRAPPED`` lines; the longest known one is taken). Comment
+marks at the beginning of lines and stars, bars and slashes do not count. Sentences are normalised (lower case, words of letters and digits with inner dots and dashes, marks around them dropped), and a normalised sentence that is
 known gets the identifiers listed for it. Rules are sequences of identifiers that must occur in this order; between two
 of them at most ``GAP`` other sentences may stand. Rules are ordered: where rules share a sentence, the one that comes first wins and the
 sentence is used up.
@@ -42,6 +43,29 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "licensed under cc by 4.0": ("cc-by-notice", "cc-4.0-version"),
     "this work is licensed under a creative commons attribution 4.0 international license": ("cc-by-notice", "cc-4.0-version"),
     "all rights reserved": ("all-rights-reserved",),
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and/or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": ("mit-grant",),
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": ("mit-condition",),
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": ("as-is",),
+    "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": ("isc-grant",),
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": ("bsd-grant",),
+    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": ("bsd-source",),
+    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": ("bsd-binary",),
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": ("bsd-endorse",),
+    "this source code form is subject to the terms of the mozilla public license v. 2.0": ("mpl-2.0",),
+    "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": ("gpl-3-later",),
+    "this program is free software you can redistribute it and/or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": ("gpl-2-later",),
+    "this is free and unencumbered software released into the public domain": ("unlicense",),
+    "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license": ("apache-notice", "apache-2.0-version", "apache-compliance"),
+    "spdx-license-identifier mit": ("spdx-mit",),
+    "spdx-license-identifier apache-2.0": ("spdx-apache-2.0",),
+    "spdx-license-identifier isc": ("spdx-isc",),
+    "spdx-license-identifier bsd-2-clause": ("spdx-bsd-2",),
+    "spdx-license-identifier bsd-3-clause": ("spdx-bsd-3",),
+    "spdx-license-identifier mpl-2.0": ("spdx-mpl-2.0",),
+    "spdx-license-identifier gpl-2.0-only": ("spdx-gpl-2",),
+    "spdx-license-identifier gpl-2.0-or-later": ("spdx-gpl-2-later",),
+    "spdx-license-identifier gpl-3.0-only": ("spdx-gpl-3",),
+    "spdx-license-identifier gpl-3.0-or-later": ("spdx-gpl-3-later",),
 }
 #: (licence, identifiers in order), the stronger rules first
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -51,12 +75,32 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL", ("free-software", "gpl-terms")),
     ("CC-BY-NC-4.0", ("cc-by-nc-notice", "cc-4.0-version")),
     ("CC-BY-4.0", ("cc-by-notice", "cc-4.0-version")),
+    ("MIT", ("mit-grant", "mit-condition", "as-is")),
     ("MIT", ("mit-grant", "as-is")),
+    ("ISC", ("isc-grant",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("MPL-2.0", ("mpl-2.0",)),
+    ("GPL-3.0-or-later", ("gpl-3-later",)),
+    ("GPL-2.0-or-later", ("gpl-2-later",)),
+    ("Unlicense", ("unlicense",)),
+    ("MIT", ("spdx-mit",)),
+    ("Apache-2.0", ("spdx-apache-2.0",)),
+    ("ISC", ("spdx-isc",)),
+    ("BSD-2-Clause", ("spdx-bsd-2",)),
+    ("BSD-3-Clause", ("spdx-bsd-3",)),
+    ("MPL-2.0", ("spdx-mpl-2.0",)),
+    ("GPL-2.0", ("spdx-gpl-2",)),
+    ("GPL-2.0-or-later", ("spdx-gpl-2-later",)),
+    ("GPL-3.0", ("spdx-gpl-3",)),
+    ("GPL-3.0-or-later", ("spdx-gpl-3-later",)),
     ("MIT", ("mit-notice",)),
     ("proprietary", ("all-rights-reserved",)),
 )
 #: other sentences that may stand between two of a rule
 GAP = 3
+#: lines a wrapped sentence may have
+WRAPPED = 12
 
 _END = re.compile(r"[.!?]+(?=\s|\Z)|\n")
 _WORD = re.compile(r"[^\W_]+(?:[-./'][^\W_]+)*")
@@ -82,24 +126,42 @@ class RuleScan:
 
     def __init__(self, known: Mapping[str, Sequence[str]] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES, gap: int = GAP) -> None:
         self.known, self.rules, self.gap = {normalise(k): tuple(v) for k, v in known.items()}, rules, gap
-        self.lengths = {len(k) for k in self.known}
-        self.shortest = min(self.lengths, default=0)
+        self.longest = max(map(len, self.known), default=0)
         #: a sentence can only be known if its first word begins a known one
         self.openers = {k.split(" ", 1)[0] for k in self.known}
 
     def identifiers(self, text: str) -> list[tuple[int, int, int, str]]:
         """``(sentence number, start, end, identifier)`` in order."""
-        out = []
-        for number, (a, b) in enumerate(sentences(text)):
-            if b - a < self.shortest:
-                continue
+        out, pieces, number, place = [], list(sentences(text)), 0, 0
+        while number < len(pieces):
+            a, b = pieces[number]
             first = _WORD.search(text, a, b)
+            place += first is not None  # comment marks alone are no sentence
             if not first or first[0].lower() not in self.openers:
+                number += 1
                 continue
-            for identifier in self.known.get(normalise(text[a:b]), ()):
-                out.append((number, a, b, identifier))
+            fits, words, end = None, "", number
+            while end < len(pieces) and end - number < WRAPPED:
+                x, y = pieces[end]
+                if end > number and not self._wraps(text, pieces[end - 1][1], x):
+                    break
+                words = f"{words} {normalise(text[x:y])}".strip()
+                if len(words) > self.longest:
+                    break
+                if words in self.known:
+                    fits = (end, y, words)
+                end += 1
+            if fits:
+                number, b, words = fits
+                out += [(place, a, b, identifier) for identifier in self.known[words]]
+            number += 1
         return out
 
+    @staticmethod
+    def _wraps(text: str, end: int, start: int) -> bool:
+        """Whether only one line end stands between two pieces, or the stop of "v." for version."""
+        return text[end:start] == "\n" or text[end:start] == "." and text[max(0, end - 2):end].lower() == " v"
+
     def __call__(self, text: str | None) -> list[tuple[str, int, int]]:
         """``(licence, start, end)`` by place."""
         found = self.identifiers(text or "")
