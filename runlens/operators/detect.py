@@ -52,13 +52,20 @@ def _chunk_s(cfg: Config) -> int:
 
 
 def _trailing(seconds: DataFrame, keys: list[str], cfg: Config, sums: dict[str, Column]) -> DataFrame:
-    """Sums over the ``window_s`` seconds before each second (that second excluded)."""
-    frame = Window.partitionBy(*keys, "chunk").orderBy("sec").rangeBetween(-cfg.window_s, -1)
+    """Sums over the ``window_s`` seconds before each second (that second excluded).
+
+    A second's counts enter with it and leave ``window_s + 1`` seconds later, so one running sum over both moves gives every
+    window; a sliding frame would add up its whole window again for each second."""
     cut = scan.with_context(seconds, "sec", _chunk_s(cfg), cfg.window_s)
+    enters = F.struct(F.col("sec").alias("at"), F.lit(False).alias("leaves"))
+    leaves = F.struct((F.col("sec") + cfg.window_s + 1).alias("at"), F.lit(True).alias("leaves"))
+    moves = cut.withColumn("__m", F.explode(F.array(enters, leaves)))
+    frame = Window.partitionBy(*keys, "chunk").orderBy("__m.at", F.desc("__m.leaves")).rowsBetween(Window.unboundedPreceding, -1)
+    moved = {n: F.coalesce(F.sum(F.when(F.col("__m.leaves"), -c).otherwise(c)).over(frame), F.lit(0)) for n, c in sums.items()}
     return (
-        cut.withColumns({n: F.coalesce(F.sum(c).over(frame), F.lit(0)) for n, c in sums.items()})
-        .where(~F.col("is_context"))
-        .drop("chunk", "is_context")
+        moves.withColumns(moved)
+        .where(~F.col("is_context") & ~F.col("__m.leaves"))
+        .drop("chunk", "is_context", "__m")
     )
 
 

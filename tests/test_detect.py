@@ -244,3 +244,17 @@ def test_timelines_tell_every_resolution_and_what_stays_open(spark):
     life = incidents.incident_lifecycle(members, clock)
     told = [(r.at_s, r.kind) for r in incidents.incident_timeline(members, life, ended=True).orderBy("at_s", "kind").collect() if r.kind != "signal"]
     assert told == [(0, "opened"), (45, "presented"), (300, "resolved"), (7200, "recurred"), (7500, "resolved"), (9000, "note"), (9000, "recurred")]
+
+
+def test_trailing_sums_equal_brute_force_without_a_sliding_frame(spark):
+    rng = random.Random(3)
+    cfg = replace(Config(), window_s=50_000)
+    rows = [(s, t, rng.randint(1, 4), rng.choice([None, 0, 1])) for s in ("a", None) for t in sorted(rng.sample(range(300_000), 400))]
+    rows += [("b", t, 1, 1) for t in (86_399, 86_400, 136_399, 136_400, 136_401)]  # window and chunk ends
+    df = spark.createDataFrame(rows, "key string, sec long, n long, e long")
+    got = detect._trailing(df, ["key"], cfg, {"w_n": F.col("n"), "w_e": F.col("e")})
+    want = [(s, t, n, e, sum(r[2] for r in rows if r[0] == s and t - 50_000 <= r[1] < t), sum(r[3] or 0 for r in rows if r[0] == s and t - 50_000 <= r[1] < t)) for s, t, n, e in rows]
+    order = lambda r: (r[0] or "", r[1])
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+    # a frame that slides adds up its whole window for each row: quadratic in the rows of a window
+    assert "rangeframe" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
