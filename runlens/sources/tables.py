@@ -11,7 +11,7 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Even out a scan of fewer files than there are cores, for work that costs far more than reading.
+    """Even out a scan of fewer files than there are cores, for work that costs or shuffles more than the reading.
 
     The splits of a file do not tell where its rows are: each of its row groups is read by one task, and there may
     be a single one whatever its size. A scan of many files is left as it is."""
@@ -84,7 +84,7 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def order_events(spark: SparkSession, folder: str) -> DataFrame:
     """``orders`` and ``lineitem`` as runs: placing the order, then its lines."""
-    o = load(spark, folder, "orders").select(
+    o = spread(load(spark, folder, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")).select(
         F.lit("orders").alias("source_id"),
         F.col("o_orderkey").cast("string").alias("trace_id"),
         (F.col("o_orderkey") * 100).alias("event_no"),
@@ -92,7 +92,7 @@ def order_events(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "ERROR").otherwise("INFO").alias("level"),
         F.lit("placed").alias("template_id"),
     )
-    li = load(spark, folder, "lineitem").select(
+    li = spread(load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_linestatus")).select(
         F.lit("orders").alias("source_id"),
         F.col("l_orderkey").cast("string").alias("trace_id"),
         (F.col("l_orderkey") * 100 + 1 + F.col("l_linenumber")).alias("event_no"),
