@@ -102,6 +102,48 @@ def test_templates_do_not_depend_on_partitions_or_segments(spark):
     assert a.exceptAll(b).count() == 0 and a.count() == len(set(words))
 
 
+def _greedy(masks, similarity):
+    """Every mask against every template of the leaf, one after the other."""
+    known, out = [], []
+    for tokens in (m.split(" ") for m in masks):
+        scores = [templates._agreement(tokens, slots) for slots in known]
+        best = max(range(len(known)), key=lambda i: (scores[i], -i), default=None)
+        if best is None or not scores[best] or scores[best] < similarity:
+            best = len(known)
+            known.append(tokens)
+        else:
+            known[best] = [s if s == t else templates.WILDCARD for s, t in zip(known[best], tokens)]
+        out.append((best, " ".join(known[best])))
+    return out
+
+
+@pytest.mark.parametrize("similarity", [0.0, 0.3, 0.5, 0.67, 1.0])
+def test_listed_templates_give_what_all_give(similarity):
+    import random
+
+    rng, step = random.Random(8), templates._cluster(similarity)
+    for n in (1, 2, 3, 5, 8):
+        words = ["sc2xx", "sc5xx", templates.WILDCARD, "<NUM>", *"abcdefg"]
+        masks = list(dict.fromkeys(" ".join(rng.choices(words, k=n)) for _ in range(300)))
+        state, got = {}, []
+        for part in (masks[:200], masks[200:203], masks[203:]):  # handed over, and few masks at a time
+            if part:
+                state, out = step(state, {"mask": part, "first_no": list(range(len(part)))})
+                number = {t: i for i, (t, _) in enumerate(state["templates"])}
+                got += [(number[t], p) for t, p in zip(out["template_id"], out["pattern"])]
+        assert got == _greedy(masks, similarity)
+
+
+def test_masks_that_share_little_are_not_compared(monkeypatch):
+    import random
+
+    rng, calls, agreement = random.Random(9), [], templates._agreement
+    monkeypatch.setattr(templates, "_agreement", lambda *a: (calls.append(1), agreement(*a))[1])
+    masks = [" ".join(["the", "of", *(f"w{rng.randrange(10_000)}" for _ in range(8))]) for _ in range(3_000)]
+    templates._cluster(0.5)({}, {"mask": masks, "first_no": list(range(3_000))})
+    assert len(calls) < 3_000 * 10  # 4.5 million pairs
+
+
 def test_measures_and_keys(spark):
     cases = [
         ("INFO voice.tts: Synthesised 60 chars in 1136ms", 1136.0, "synthesised chars", None),
