@@ -2,6 +2,7 @@
 
 import random
 import statistics
+import time
 from dataclasses import replace
 
 import pytest
@@ -224,6 +225,69 @@ def test_incidents_do_not_depend_on_segments(spark):
     assert a.exceptAll(b).count() == 0 and a.count() == 300
 
 
+def _walked(rows, cfg):
+    """Incident and rules of every signal, each compared with all incidents there are."""
+    known, out = [], []
+    for now, detector, template, trace, service, severity in rows:
+        best, best_rules = None, []
+        for i in known:
+            rules = [name for name, holds in (
+                ("trace", trace and trace in i["trace"]), ("adjacency", service and service in i["service"]),
+                ("temporal", now - i["last"] <= cfg.temporal_s), ("coincident", i["last"] == now and cfg.coincident_s >= 0)) if holds]
+            again = template in i["template"] and detector in i["detector"]
+            rules += ["recurrence", "recurrence-confirmed"] if again else []
+            telling = again or set(rules) & {"trace", "coincident"} or "adjacency" not in rules or len(i["service"]) > 1
+            if (again or now - i["last"] < cfg.resolve_quiet_s) and len(rules) >= 2 and telling and len(rules) > len(best_rules):
+                best, best_rules = i, rules
+        if best is None and severity != "P4":
+            best, best_rules = {"no": len(known) + 1, "last": now, "trace": set(), "service": set(), "template": set(), "detector": set()}, ["first"]
+            known.append(best)
+        out.append((best and best["no"], " ".join(best_rules)))
+        if best is not None:
+            best["last"] = now
+            for field, value in (("trace", trace), ("service", service), ("template", template), ("detector", detector)):
+                if value or field == "service":
+                    best[field].add(value)
+    return out
+
+
+def _stepped(rows, cfg, parts=1):
+    names = ("sec", "detector", "template_id", "trace_id", "service", "severity")
+    step, state, out = incidents.grouping_step(cfg), {}, []
+    size = -(-len(rows) // parts)
+    for at in range(0, len(rows), size):
+        part = dict(zip(names, map(list, zip(*rows[at:at + size]))))
+        part |= {"signal_no": part["sec"], "onset": [str(s) for s in part["sec"]]}
+        state, got = step(state, part)
+        out += zip(got["incident_no"], got["rules"])
+    return out
+
+
+@pytest.mark.parametrize("quiet", [300.0, 60.0])
+def test_quiet_incidents_that_others_stand_for(quiet):
+    rng, cfg = random.Random(7), replace(Config(), resolve_quiet_s=quiet)
+    t, rows = 0, []
+    for _ in range(3_000):
+        t += rng.choice([0, 1, 20, 80, 200, 700])
+        rows.append((t, rng.choice("DENX"), f"T{rng.randint(0, 40)}", rng.choice([None, None, *"abcdef"]), rng.choice([None, "web", "db", "api", "job"]), rng.choice(["P2", "P3", "P4"])))
+    want = _walked(rows, cfg)
+    assert len({no for no, _ in want}) > 20 and _stepped(rows, cfg) == want == _stepped(rows, cfg, 5)
+
+
+def test_quiet_incidents_of_one_template_are_not_walked_through():
+    rows = [(1_000 * i, f"D{i}", "T", None, "web", "P2") for i in range(8_000)]
+    began = time.process_time()
+    got = _stepped(rows, Config())
+    assert [no for no, _ in got] == list(range(1, 8_001)) and time.process_time() - began < 5  # 32 million comparisons
+
+
+def test_windows_left_empty_by_disorder_have_no_share(spark):
+    rows = [("s", i, 10_000, "INFO") for i in range(400)] + [("s", 400 + i, i, "ERROR") for i in range(300)]
+    df = spark.createDataFrame(rows, "source_id string, event_no long, sec long, level string")
+    got = {r.event_no: (r.observed, r.above) for r in detect.error_conditions(df).collect()}
+    assert got[299] == (None, False) and got[300][0] is not None
+
+
 def test_the_cause_says_where_the_flow_runs(spark):
     rows = [(0, "D", "T1", "tr1", "web", "P2"), (5, "E", "T2", "tr1", "db", "P2"), (9, "E", "T2", "tr1", "db", "P2"), (5000, "D", "T8", "x", "web", "P2")]
     members = incidents.group_incidents(_signals(spark, rows))
