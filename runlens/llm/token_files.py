@@ -12,7 +12,9 @@ Documents are dealt out by ranges of ``doc_id`` and sorted inside a range, so sh
 
 Texts are encoded by the library word by word: a space in front of a non-space always opens a new pre-token of the
 vocabulary's pattern, so the ids of a text are the ids of its space-led pieces in a row. Distinct pieces are encoded
-together and remembered per worker (a bounded number), which does a text of known words by look-ups.
+together and remembered per worker (a bounded number, the frequent ones longest), which does a text of known words by look-ups. The pattern also
+ends a run of letters before any other ASCII character, so a new piece that begins with a word is that word and what follows
+it, each learned once; such words need no pattern and go to the library's merges as they are.
 
 The strings of special tokens in a text are ordinary text, or with ``specials`` (as in the query) what the library makes of them by
 default; a text that holds one is then encoded whole by the library.
@@ -24,6 +26,7 @@ other than ``doc_id`` and ``text`` are not stored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator, Sequence
@@ -36,13 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, new_table, per_worker
+from .common import Remembered, load, new_table, per_worker
 
 END_ID = 2
 BLOCK_IDS = 1 << 16
 LEVEL = 3
-#: pieces a worker remembers, and the most characters of pieces that are encoded or joined at a time
-REMEMBER = 400_000
+#: pieces a worker remembers in each of two generations, and the most characters of pieces that are encoded or joined at a time
+REMEMBER = 300_000
 SLICE_CHARS = 1 << 22
 CHUNKS = (
     "shard int, block int, first long, n int, planes array<binary>, "
@@ -51,6 +54,14 @@ CHUNKS = (
 
 _SPACE_RUN = re.compile(r" (?:\s|\Z)")
 _PIECE = re.compile(r" (?=\S)")
+#: letters (of ASCII and Latin-1), then nothing or an ASCII character that is no letter
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x00-@\[-`{-\x7f].*)?", re.S)
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary, for the bytes that do not stand for themselves."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
 class PieceEncoder:
@@ -58,6 +69,7 @@ class PieceEncoder:
 
     def __init__(self, path: str, remember: int = REMEMBER, specials: bool = False) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not specials  # if set, their strings in a text are ordinary text
@@ -66,20 +78,61 @@ class PieceEncoder:
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True  # tokens that begin with a space
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(remember)
+        self.behind: dict[str, bytes] = {}  # by what stands behind a word
         self.remember = remember
+        state = json.loads(self.tokenizer.to_str())
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.cuts = not state["normalizer"] and byte_level.items() <= (state["pre_tokenizer"] or {}).items()
+        self.letters = byte_letters()
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, pieces: list[str]) -> None:
-        ids = self._ids(" " + " ".join(pieces))
+    def _learn(self, pieces: list[str], ids: np.ndarray) -> None:
         at = np.flatnonzero(self.opens[ids])
         if len(at) != len(pieces):
             raise ValueError("the vocabulary does not keep spaces at the front of tokens")
-        at, raw = (at * 4).tolist(), ids.tobytes()
+        at, raw, known = (at * 4).tolist(), ids.tobytes(), self.known.young
         for piece, s, e in zip(pieces, at, [*at[1:], len(raw)], strict=True):
-            self.known[piece] = raw[s:e]
+            known[piece] = raw[s:e]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters only, already in the characters that stand for their bytes."""
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in words]
+        self._learn(words, np.array(self.merges.encode_batch_fast(["Ġ" + " Ġ".join(shown)], add_special_tokens=False)[0].ids, "<u4"))
+
+    def _learn_all(self, new: list[str]) -> None:
+        known, old, behind = self.known.young, self.known.old, self.behind
+        if len(behind) + len(new) > self.remember:
+            behind.clear()
+        words, cut, plain = set(), [], []
+        for piece in new:
+            m = _WORD.fullmatch(piece) if self.cuts else None
+            if " " in piece:  # ends in further spaces, so its tokens do not tell its bounds
+                known[piece] = self._ids(" " + piece).tobytes()
+            elif m is None:
+                plain.append(piece)
+            else:
+                word, rest = m.groups()
+                if rest:
+                    cut.append((piece, word, rest))
+                    if rest not in behind:
+                        behind[rest] = self._ids(rest).tobytes()
+                if word not in known:
+                    if word in old:
+                        known[word] = old[word]
+                    else:
+                        words.add(word)
+        words = list(words)
+        for i in range(0, len(words), 50_000):
+            self._learn_words(words[i:i + 50_000])
+        for i in range(0, len(plain), 50_000):
+            self._learn(plain[i:i + 50_000], self._ids(" " + " ".join(plain[i:i + 50_000])))
+        for piece, word, rest in cut:
+            known[piece] = known[word] + behind[rest]
 
     def __call__(self, texts: Sequence[str]) -> Iterator[bytes]:
         for part in _slices(texts):
@@ -88,18 +141,11 @@ class PieceEncoder:
             for i in whole:
                 part[i] = ""
             split = [_PIECE.split(t) if _SPACE_RUN.search(t) else t.split(" ") for t in part]
-            led = set().union(*[s[1:] for s in split])
-            if len(self.known) + len(led) > self.remember:
-                self.known = {}
-            new = [w for w in led if w not in self.known]
-            for w in [w for w in new if " " in w]:  # ends in further spaces, so its tokens do not tell its bounds
-                self.known[w] = self._ids(" " + w).tobytes()
-            new = [w for w in new if " " not in w]
-            for i in range(0, len(new), 50_000):
-                self._learn(new[i:i + 50_000])
-            get = self.known.__getitem__
-            for i, s in enumerate(split):
-                yield by_library[i] if i in by_library else (self._ids(s[0]).tobytes() if s[0] else b"") + b"".join(map(get, s[1:]))
+            first = [s.pop(0) for s in split]
+            self._learn_all(self.known.unknown(set().union(*split)))
+            get = self.known.young.__getitem__
+            for i, (f, s) in enumerate(zip(first, split, strict=True)):
+                yield by_library[i] if i in by_library else (self._ids(f).tobytes() if f else b"") + b"".join(map(get, s))
 
 
 def _slices(texts: Sequence[str]) -> Iterator[list[str]]:
@@ -253,7 +299,12 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = [parts[0]["crc"] if len(parts) == 1 else joined_crc([(4 * p["take"], p["crc"]) for p in parts]) for parts in batch.column("parts").to_pylist()]
+            takes, found = (batch.column("parts").flatten().field(k).to_numpy() for k in ("take", "crc"))
+            bounds = batch.column("parts").value_lengths().to_numpy().cumsum()
+            crcs = found[bounds - 1]  # of the last piece, which is the only one of most documents
+            for i in np.flatnonzero(np.diff(bounds, prepend=0) > 1):
+                own = slice(bounds[i - 1] if i else 0, bounds[i])
+                crcs[i] = joined_crc(list(zip((4 * takes[own]).tolist(), found[own].tolist(), strict=True)))
             yield pa.record_batch([*[batch.column(c) for c in ("doc_id", "start", "n_tokens")], pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     index = chunk_index(spark, path)

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -31,6 +32,19 @@ def test_pieces_equal_the_library(library):
     assert [np.frombuffer(r, "<u4").tolist() for r in encode(texts)] == [library(t) for t in texts]
 
 
+def test_words_and_what_follows_them(library, monkeypatch):
+    rng = random.Random(4)
+    marks = [*"abé'.,\n\t $½²́ß日12_-ª\x1c\xa0\x85sDZ ", "  ", "\n\n", "word", " don't", " Straße", " ***", "<|endoftext|>"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    encode = token_files.PieceEncoder(PATH, remember=50)
+    assert [np.frombuffer(r, "<u4").tolist() for i in range(0, 3000, 10) for r in encode(texts[i:i + 10])] == [library(t) for t in texts]
+    encode, asked, plain = token_files.PieceEncoder(PATH, remember=2000), [], token_files.PieceEncoder._ids
+    monkeypatch.setattr(token_files.PieceEncoder, "_ids", lambda self, text: asked.append(text) or plain(self, text))
+    for i in range(20):  # words that come back are not learned again, whatever stands behind them and however many others come
+        list(encode([" the and," + "".join(f" n{j}" for j in range(1000 * i, 1000 * i + 900)), " the. and; the\nOf"]))
+    assert not any("the" in text.split() or "and" in text for text in asked) and sum(text == "," for text in asked) < 20
+
+
 def test_joined_crc():
     parts = [b"abc", b"", b"0" * 1000, b"xyz"]
     assert token_files.joined_crc([(len(p), zlib.crc32(p)) for p in parts]) == zlib.crc32(b"".join(parts))
