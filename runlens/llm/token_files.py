@@ -30,6 +30,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -229,38 +230,33 @@ def chunk_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNKS).parquet(path).drop("planes")
 
 
-def _shift(n: int) -> list[int]:
-    """Columns of the GF(2) matrix that takes a CRC-32 over ``n`` further zero bytes."""
-    out, step = [1 << i for i in range(32)], [0xEDB88320, *[1 << i for i in range(31)]]  # one zero bit
+def _times(m: Sequence[int], v: int) -> int:
+    """A GF(2) matrix, by columns, times a vector."""
+    r, i = 0, 0
+    while v:
+        if v & 1:
+            r ^= m[i]
+        v, i = v >> 1, i + 1
+    return r
 
-    def times(m: list[int], v: int) -> int:
-        r, i = 0, 0
-        while v:
-            if v & 1:
-                r ^= m[i]
-            v, i = v >> 1, i + 1
-        return r
 
-    n *= 8
-    while n:
-        if n & 1:
-            out = [times(step, c) for c in out]
-        step = [times(step, c) for c in step]
-        n >>= 1
-    return out
+@cache
+def _shift(k: int) -> tuple[int, ...]:
+    """Columns of the GF(2) matrix that takes a CRC-32 over ``2 ** k`` further zero bits."""
+    if not k:
+        return (0xEDB88320, *[1 << i for i in range(31)])
+    half = _shift(k - 1)
+    return tuple(_times(half, c) for c in half)
 
 
 def joined_crc(parts: Sequence[tuple[int, int]]) -> int:
     """CRC-32 of byte strings in a row, from each one's (length, CRC-32)."""
-    crc, shifts = 0, {}
+    crc = 0
     for n, c in parts:
-        m = shifts.get(n) or shifts.setdefault(n, _shift(n))
-        moved, i, v = 0, 0, crc
-        while v:
-            if v & 1:
-                moved ^= m[i]
-            v, i = v >> 1, i + 1
-        crc = moved ^ c
+        for k in range((8 * n).bit_length()):
+            if 8 * n >> k & 1:
+                crc = _times(_shift(k), crc)
+        crc ^= c
     return crc
 
 
@@ -289,13 +285,14 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("shard", "doc", "doc_id", "at", "skip", "take", "crc")
         for batch in batches:
-            for row in batch.to_pylist():
-                raw, at, out = unpack(row["planes"], row["n"]).tobytes(), 0, []
-                for d in row["docs"]:
-                    crc = zlib.crc32(memoryview(raw)[4 * at:4 * (at + d["take"])])
-                    out.append((row["shard"], d["doc"], d["doc_id"], row["first"] + at, d["skip"], d["take"], crc))
-                    at += d["take"]
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
+            for shard, first, n, planes, docs in zip(*[batch.column(c) for c in ("shard", "first", "n", "planes", "docs")], strict=True):
+                raw, docs = memoryview(unpack(planes.as_py(), n.as_py()).tobytes()), docs.values
+                take = docs.field("take").to_numpy().astype(np.int64)
+                ends = take.cumsum()
+                crcs = [zlib.crc32(raw[4 * s:4 * e]) for s, e in zip((ends - take).tolist(), ends.tolist(), strict=True)]
+                yield pa.record_batch(
+                    [pa.array(np.full(len(take), shard.as_py(), np.int64)), *[docs.field(c) for c in ("doc", "doc_id")], pa.array(first.as_py() + ends - take), docs.field("skip"), pa.array(take), pa.array(crcs, pa.int64())],
+                    names=names)
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
