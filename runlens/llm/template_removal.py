@@ -193,7 +193,7 @@ class Page:
         if self.around[i]:
             return False
         if self.in_article[i]:
-            return self.tags[i] in BOXES and not self.heads[i]
+            return self.tags[i] in BOXES and not self.heads[i] and not self.dropped[i]
         return self.tags[i] not in INLINE and self.tags[i] not in ("html", "body")
 
     def _block(self, i: int) -> int:
@@ -246,7 +246,10 @@ def page_parts(pages: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], [], [], []]
             for host, row, mark, html in zip(*[batch.column(c) for c in ("host", "row", "page", "html")], strict=True):
                 page = Page(html.as_py())
-                subtrees = {h: page.bare or page.in_article[i] for i, h in enumerate(page.subtrees()) if h and page.countable(i)}
+                subtrees: dict[int, bool] = {}
+                for i, h in enumerate(page.subtrees()):
+                    if h and page.countable(i):
+                        subtrees[h] = subtrees.get(h, False) or page.bare or page.in_article[i]
                 found = [(h, 0, own) for h, own in subtrees.items()] + [(h, n, False) for h, n in page.blocks().items()]
                 for part in found:
                     for col, v in zip(out, (host.as_py(), row.as_py(), mark.as_py(), *part), strict=True):

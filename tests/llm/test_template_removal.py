@@ -66,6 +66,8 @@ def test_boxes_that_recur_inside_marked_articles(spark):
     # copies of one article with other things around it are one article; what is all of an article stays, and so does a heading
     copies = [f"<article><h1>A</h1><div>the same long words</div><p>seen {i}</p></article>" for i in range(9)]
     assert host_texts(spark, copies + [f"<article><p>an altogether different article {i}</p></article>" for i in range(3)])[1] == [0] * 12
+    outside = ["<article><p>own words {0}</p><div>both in and out</div></article><div>both in and out</div>".format(i) for i in range(5)]
+    assert host_texts(spark, outside) == ([f"own words {i}" for i in range(5)], [1] * 5)
     sole = ["<article><h1>A</h1><div>all there is</div></article>"] + [f"<article><div>all there is</div><div><h2>sub</h2></div><p>long words of {i}</p></article>" for i in range(9)]
     assert host_texts(spark, sole) == (["A all there is", *[f"sub long words of {i}" for i in range(9)]], [0, *[1] * 9])
 
