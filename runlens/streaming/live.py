@@ -322,10 +322,10 @@ def timeline_step(cfg: Config = DEFAULT):
 
     def step(state: dict, rows: Rows) -> tuple[dict, Rows]:
         groups, open_ones, clock = state.get("groups", {}), state.get("open", {}), state.get("clock")
-        out: Rows = {c: [] for c in ("incident_no", "at_s", "kind", "detail", "grouped_by", "status")}
+        out: Rows = {c: [] for c in ("incident_no", "at_s", "kind", "detail", "grouped_by", "status", "observed", "baseline")}
 
-        def tell(no: int, at: float, kind: str, detail: str, status: str, grouped_by: str = "") -> None:
-            for c, v in zip(out, (no, int(at), kind, detail, grouped_by, status), strict=True):
+        def tell(no: int, at: float, kind: str, detail: str, status: str, grouped_by: str = "", observed: float | None = None, baseline: float | None = None) -> None:
+            for c, v in zip(out, (no, int(at), kind, detail, grouped_by, status, observed, baseline), strict=True):
                 out[c].append(v)
 
         def age(now: float) -> None:
@@ -354,7 +354,7 @@ def timeline_step(cfg: Config = DEFAULT):
                 open_ones[str(no)] = {"opened": now, "last": now, "status": "open"}
                 tell(no, now, "recurred", incidents.RECURRED, "open")
             open_ones[str(no)]["last"] = now
-            tell(no, now, "signal", f"{rows['detector'][n]} {rows['metric'][n]}", open_ones[str(no)]["status"], put["rules"][0])
+            tell(no, now, "signal", f"{rows['detector'][n]} {rows['metric'][n]}", open_ones[str(no)]["status"], put["rules"][0], rows["observed"][n], rows["baseline"][n])
         if cfg.forget_s is not None and groups:
             groups["incidents"] = [i for i in groups["incidents"] if clock - i["last"] < cfg.resolve_quiet_s + cfg.forget_s]
         return {"groups": groups, "open": open_ones, "clock": clock}, out
@@ -371,7 +371,7 @@ def stream_incident_timeline(hits: DataFrame, cfg: Config = DEFAULT) -> DataFram
     text = lambda c: F.coalesce(c, F.lit(""))
     rows = hits.where("sec is not null").select(
         "source_id", "sec", "event_no", "detector", "metric", "service", "trace_id", "template_id", "severity", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("onset"),
-        F.lit(0).cast("long").alias("signal_no"),
+        "observed", "baseline", F.lit(0).cast("long").alias("signal_no"),
         # clock readings come after the signals of their second
         F.struct(
             "sec", F.col("detector").isNull().alias("is_clock"), "event_no", rank.alias("rank"), text("template_id").alias("t"), text("metric").alias("m"),
@@ -380,7 +380,7 @@ def stream_incident_timeline(hits: DataFrame, cfg: Config = DEFAULT) -> DataFram
         "\u0001", F.lpad(F.col("place.sec").cast("string"), 20, "0"), F.col("place.is_clock").cast("int").cast("string"), F.lpad(F.col("place.event_no").cast("string"), 20, "0"),
         F.col("place.rank").cast("string"), "place.t", "place.m", "place.r"))
     return run_step(
-        rows, ["source_id"], "place", timeline_step(cfg), "incident_no long, at_s long, kind string, detail string, grouped_by string, status string")
+        rows, ["source_id"], "place", timeline_step(cfg), "incident_no long, at_s long, kind string, detail string, grouped_by string, status string, observed double, baseline double")
 
 
 # ------------------------------------------------------------------- the whole way

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from runlens.config import Config
 from runlens.operators import detect, gates, incidents
+from runlens.plans import catalog
 from runlens.streaming import live
 
 SMALL = replace(Config(), segment_rows=40, fold_rows=40)
@@ -322,3 +323,16 @@ def test_trailing_sums_equal_brute_force_without_a_sliding_frame(spark):
     assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
     # a frame that slides adds up its whole window for each row: quadratic in the rows of a window
     assert "rangeframe" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_the_timeline_query_tells_every_entry_of_every_incident(spark, monkeypatch):
+    rows = [(0, "D", "T1", "a", "web", "P2"), (20, "E", "T2", "a", "db", "P3"), (90_000, "D", "T1", "b", "web", "P2")]
+    members = incidents.group_incidents(_signals(spark, rows).withColumn("observed", F.col("sec") + 0.5), catalog.HOURS)
+    monkeypatch.setattr(catalog, "_members", lambda *_: (members, _signals(spark, [(90_100, "x", "x", "x", "x", "P2")])))
+    told = catalog.CATALOG["incident_timeline"](spark, "").orderBy("at_s", "kind", "detail").collect()
+    assert {(r.source_id, r.incident_no) for r in told} == {("s", 1)}
+    assert [(r.at_s, r.kind, r.detail, r.grouped_by, r.observed, r.baseline) for r in told] == [
+        (0, "opened", "opened by D (P2)", "", None, None), (0, "signal", "D m", "first", 0.5, 1.0), (20, "signal", "E m", "trace temporal", 20.5, 1.0),
+        (900, "presented", incidents.PRESENTED, "", None, None), (7220, "resolved", incidents.RESOLVED, "", None, None),
+        (90_000, "note", incidents.STILL_OPEN, "", None, None), (90_000, "recurred", incidents.RECURRED, "", None, None),
+        (90_000, "signal", "D m", "adjacency recurrence recurrence-confirmed", 90_000.5, 1.0)]
