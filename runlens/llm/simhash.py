@@ -101,7 +101,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     agree = sum((F.when(F.shiftright(differ, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1 << i).otherwise(0) for i in range(8)), F.lit(0))
     first = [tuple(i for i in range(8) if m >> i & 1)[:need] for m in range(256)]
     own_list = F.array(*[F.lit(kept.index(f) if len(f) == need else -1).cast("tinyint") for f in first])
-    met = a.join(b, ["positions", "bytes"]).where(
+    # the size Spark expects of the index leaves its lists out, and may send all of it to every task
+    met = a.join(b.hint("merge"), ["positions", "bytes"]).where(
         (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & (F.get(own_list, agree) == F.col("positions")))
     return met.select("a", "b", F.bit_count(agree).alias("shared"))
 

@@ -77,3 +77,11 @@ def test_keep_first(docs_of, prose):
     assert kept.columns == ["doc_id", "text", "place", "mark", "n_chars"]
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 2, 4, 9]
     assert simhash.keep_first(docs_of([])).collect() == []
+
+
+def test_the_index_is_not_sent_to_all_tasks(spark, tmp_path):
+    # files are of known size, which an index of 28 lists a row exceeds
+    rng = random.Random(9)
+    spark.createDataFrame([(i, rng.getrandbits(63)) for i in range(3000)], "doc_id long, fp long").write.parquet(str(tmp_path / "fps"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fps")))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
