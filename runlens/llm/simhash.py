@@ -19,7 +19,7 @@ gives no rows. Columns other than ``doc_id`` and ``text`` are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -38,19 +38,23 @@ SEED = 42
 BLOCK = 1 << 16
 
 
-def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
-    """XXH64 of every shingle of the lower-cased text, repeats included."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII spaces only
-    if not found:
+def ascii_words(text: str) -> bytes:
+    """The words one space apart: only A-Z are made small, only the six ASCII spaces part words."""
+    return b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
+
+
+def shingle_hashes(text: str | None, words: int = WORDS, split: Callable[[str], bytes] = ascii_words) -> np.ndarray:
+    """XXH64 of every shingle of the text's words, repeats included."""
+    joined = split(text or "")
+    if not joined:
         return np.empty(0, np.uint64)
-    joined = b" ".join(found)
     digest = xxhash.xxh64_intdigest
-    n = len(found) - words + 1
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    n = len(spaces) + 2 - words
     if n < 1:
         return np.array([digest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-    starts = [0, *ends[: n - 1].tolist()]
-    return np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts, (ends[words - 1:] - 1).tolist(), strict=True)], np.uint64, n)
+    starts, ends = [0, *(spaces[:n - 1] + 1).tolist()], [*spaces[words - 1:].tolist(), len(joined)]
+    return np.fromiter([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], np.uint64, n)
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
